@@ -1,0 +1,293 @@
+from __future__ import annotations
+
+import hashlib
+import sys
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from veilspark.llm import ann, components, mixing, neardup, packing, pii, quality, secrets, sharding, suffix, tokens  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return brute.awkward(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def empty(docs):
+    return docs.filter("1 = 0")
+
+
+def same(a, b):
+    return Counter(a) == Counter(b)
+
+
+def test_blocks_round_trip():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 127, 128, 129, 5000):
+        ids = r.choice([3, 70, 400, 49_000, 2**32 - 1], n, p=[0.5, 0.3, 0.1, 0.09, 0.01]).astype(np.uint32)
+        assert (tokens.decode_blocks(tokens.encode_blocks(ids)) == ids).all()
+    ids = np.full(1024, 7, np.uint32)
+    assert len(tokens.encode_blocks(ids)) < 200
+
+
+def test_tokens(spark, docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = tokens.read_documents(tokens.encode_documents(docs, path, 2)).collect()
+    want, start = [], 0
+    for k, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert same([tuple(r) for r in got], want)
+    assert tokens.read_documents(tokens.encode_documents(empty(docs), path, 2)).count() == 0
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates(docs, rows, size):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, size=size, block=8).collect()}
+    want = brute.near([r for r in rows if r[0] is not None], size)
+    assert {k: v for k, v in got.items() if k is not None} == {k: (n, c, k == c) for k, (n, c) in want.items()}
+    assert got[None][1:] == (None, None)
+
+
+def test_near_duplicates_chain(spark):
+    """A group of many near copies, of which the ends are unlike each other, beside texts that share a passage."""
+    r = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for i in range(150):
+        text = base.copy()
+        for j in r.integers(0, 120, 3):
+            text[j] = f"v{r.integers(0, 10**9)}"
+        out.append((i, " ".join(text)))
+    out += [(200 + i, " ".join(base[:60] + [f"u{i}x{j}" for j in range(25)])) for i in range(60)]
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, block=16).collect()}
+    assert got == {k: c for k, (_, c) in brute.near(out).items()}
+    assert neardup.near_duplicates(df.filter("doc_id < 0")).count() == 0
+
+
+def test_superminhash_estimates_jaccard():
+    r = np.random.default_rng(3)
+    h = r.integers(0, 2**63, 1500).astype(np.uint64)
+    a, b = h[:1000], h[200:1200]
+    sig = neardup.superminhash(np.repeat([0, 1], 1000), np.concatenate([a, b]), 2, 128)
+    assert abs((sig[0] == sig[1]).mean() - 800 / 1200) < 0.12
+    tiny = neardup.superminhash(np.array([0, 1]), h[[0, 0]], 2, 128)
+    assert np.isfinite(tiny).all() and (tiny[0] == tiny[1]).all()
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (5, 5)]
+    got = {r.u: r.v for r in components.components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def test_suffix_array():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 3, 4, 5, 50, 301):
+        for top in (2, 4, 300):
+            s = r.integers(1, top, n)
+            assert suffix.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+
+
+@pytest.mark.parametrize("hot", [0, 40_000])
+def test_repeats(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_ROWS", hot)
+    got = [tuple(r)[:5] for r in suffix.remove_repeats(docs.union(docs.filter("doc_id = 1007"))).collect()]
+    more = rows + [r for r in rows if r[0] == 1007]
+    assert same(got, brute.repeats([(k, (t or "").encode()) for k, t in more]))
+
+
+def test_repeats_edits(spark):
+    """Passages cut and joined at all places, so that contexts differ around the repeated windows."""
+    r = np.random.default_rng(9)
+    pool = bytes(r.integers(97, 101, 3000)).decode()
+    out = []
+    for i in range(60):
+        a, n = int(r.integers(0, 2000)), int(r.integers(380, 900))
+        fill = lambda: bytes(r.integers(97, 123, int(r.integers(0, 300)))).decode()
+        out.append((i, fill() + pool[a : a + n] + fill()))
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    got = [tuple(r)[:5] for r in suffix.remove_repeats(df).collect()]
+    assert same(got, brute.repeats([(k, t.encode()) for k, t in out]))
+    assert suffix.remove_repeats(df.filter("doc_id < 0")).count() == 0
+
+
+def test_pii(docs, rows):
+    found = pii.detect(docs)
+    text = {r.doc_id: (r.text, [f"{x.kind}:{x.start}:{x.end}" for x in r.pii]) for r in found.collect()}
+    for k, t in rows:
+        spans = [s for s in text[k][1] if s.split(":")[0] in pii.BASE]
+        assert spans == brute.pii(t if "" not in (t or "") else t), k
+    assert {"iban:0:22", "ssn:33:44"} <= set(text[1019][1])
+    assert not [s for s in pii.detect(docs.sparkSession.createDataFrame([("DE89370400440532013001",)], "text string")).first().pii]
+    clean = {r.doc_id: r.text for r in pii.redact(found).collect()}
+    assert clean[1019].startswith("<IBAN> iban, ssn <SSN>") and clean[1019].endswith("<EMAIL>")
+    assert clean[1000] is None and clean[1001] == "" and clean[1003] == "one two"
+    assert "<CARD>" in clean[1010] and "4111" not in clean[1010]
+    assert pii.detect(empty(docs)).count() == 0
+
+
+def test_pii_long_runs(spark):
+    texts = ["1" * 40_000, "1 " * 20_000, "a.b" * 20_000, "x" * 60_000 + "@", "a@" + "b.c" * 15_000, "+1" + "(" * 40_000, "1.1" * 15_000]
+    got = pii.detect(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")).collect()
+    assert [r.doc_id for r in got if any(x.kind == "email" for x in r.pii)] == [4]
+
+
+def test_secrets(docs, rows):
+    for k, t in rows:
+        assert [f"{kind}:{s}:{e}" for s, e, kind in secrets.base_spans(t or "")] == brute.secrets(t), k
+    got = {r.doc_id: r.secrets for r in secrets.scan(docs).collect()}
+    assert {x.kind for x in got[1011]} >= {"assign", "access", "hex"}
+    assert got[1000] == [] and got[1001] == []
+    assert secrets.scan(empty(docs)).count() == 0
+
+
+def test_secrets_accuracy():
+    model = secrets.trained()
+    found, y = secrets.labelled_findings(1200, 99)
+    p = model.score(np.concatenate([secrets.windows(*f)[:1] for f in found]))
+    assert (p[y > 0] >= model.threshold).mean() >= 0.95
+    assert (p[y == 0] < model.threshold).mean() >= 0.9
+    assert secrets.windows("x" * 200, 10, 160).shape == (4, secrets.WIDTH)
+
+
+def test_neighbours(spark):
+    r = np.random.default_rng(4)
+    centre = r.normal(size=(6, 24))
+    x = centre[r.integers(0, 6, 900)] + 0.6 * r.normal(size=(900, 24))
+    x[100:400] = x[100]
+    x[5] *= 3
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 24), (2040, [float("nan")] * 24), (2060, [float("inf")] + [1.0] * 23), (2080, [None] * 24), (2100, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(ann.usable(df), F.col("vec_id") % 20 == 0).toPandas()
+    v = x.astype(np.float32).astype(float)
+    hits = total = 0
+    for q in range(0, 900, 20):
+        s = v @ v[q]
+        order = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:20]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21))
+        assert np.allclose(mine["score"], s[mine["vec_id"]]) and mine["score"].is_monotonic_decreasing
+        hits += len({*order} & {*mine["vec_id"]})
+        total += 20
+    assert hits / total >= 0.9 and set(got["query_id"]) == set(range(0, 900, 20))
+    assert ann.nearest(ann.usable(df.filter("vec_id < 0")), F.col("vec_id") % 20 == 0).count() == 0
+    few = ann.nearest(ann.usable(df.filter("vec_id in (0, 1, 2)")), F.col("vec_id") % 20 == 0, probes=200).collect()
+    assert len(few) == 2
+
+
+def test_hadamard_is_orthonormal():
+    h = ann.hadamard(np.eye(16))
+    assert np.allclose(h @ h.T, np.eye(16))
+
+
+def test_shards(docs, rows):
+    text = F.coalesce("text", F.lit(""))
+    out = sharding.shuffle_into_shards(docs.select("doc_id", F.crc32(text.cast("binary")).alias("c"), "shard"), 7, ["doc_id", "c"], bucket_rows=4).collect()
+    assert same([(r.doc_id, r.c) for r in out], [(k, brute.crc(t)) for k, t in rows])
+    by = Counter(r.shard for r in out)
+    assert max(by.values()) - min(by.values()) <= 1
+    for s in by:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(by[s]))
+    assert sharding.shuffle_into_shards(empty(docs), 7, ["doc_id"]).count() == 0
+
+
+def test_write_shards(docs, tmp_path, rows):
+    sharding.write_shards(docs.drop("shard"), f"file://{tmp_path}/out", 3, ["doc_id", "text"])
+    assert docs.sparkSession.read.parquet(f"file://{tmp_path}/out").count() == len(rows)
+
+
+def test_quality_statistics(docs, rows):
+    got = quality.statistics([(t or "").encode() for _, t in rows])
+    for (k, t), mine in zip(rows, got.itertuples(index=False), strict=True):
+        assert tuple(mine[:5]) == brute.quality(t)[:5], k
+    out = {r.doc_id: r for r in quality.judge(docs, None).collect()}
+    assert all(out[k].base_failed == brute.quality(t)[5] and out[k].kept == (not out[k].base_failed) for k, t in rows)
+    assert quality.judge(empty(docs), None).count() == 0
+    assert quality.train(docs, docs.sparkSession.createDataFrame([], "doc_id long, quality int")) is None
+
+
+def test_quality_model(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(d, labels)
+    got = quality.judge(d, model).join(labels, "doc_id").toPandas()
+    good = got[(got["quality"] == 1) & ~got["base_failed"]]
+    assert good["kept"].mean() > 0.97
+    assert (~got[got["quality"] == 0]["kept"]).mean() > 0.6
+
+
+def test_trees_are_monotonic():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(3000, 2))
+    y = ((x[:, 0] + np.sin(3 * x[:, 1]) + 0.3 * r.normal(size=3000)) > 0).astype(float)
+    m = quality.fit(x, y, np.array([1, 0]))
+    assert ((m.score(x) > 0.5) == y).mean() > 0.9
+    for other in (-1.0, 0.2, 1.3):
+        line = np.stack([np.linspace(-3, 3, 200), np.full(200, other)], 1)
+        assert (np.diff(m.score(line)) >= -1e-12).all()
+
+
+def test_raking():
+    cells = pd.DataFrame([(s, l, t, float(1 + i)) for i, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in ("x", None) for t in "pq")], columns=["source", "lang", "topic", "tokens"])
+    want = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.7, None: 0.3}, "topic": {"p": 0.4, "q": 0.6}}
+    w = mixing.rake(cells, want) * cells["tokens"]
+    for d, t in want.items():
+        for v, share in t.items():
+            at = cells[d].isna() if v is None else cells[d] == v
+            assert abs(w[at].sum() / w.sum() - share) < 1e-6
+    rate = mixing.rates(cells, mixing.rake(cells, want), 0.4)
+    assert abs((rate * cells["tokens"]).sum() / cells["tokens"].sum() - 0.4) < 1e-6
+
+
+def test_mixing(docs, rows):
+    out = mixing.mix(docs).collect()
+    assert same([r.doc_id for r in out], [k for k, _ in rows]) and all(0 < r.rate <= 1 and r.sampled is not None for r in out)
+    assert all(r.n_tokens == len(brute.words(r.text)) for r in out)
+    assert mixing.mix(empty(docs)).count() == 0
+
+
+def test_packing(docs, rows):
+    out = packing.pack(docs, capacity=300, shard_rows=40).toPandas()
+    have = {}
+    for r in out.sort_values(["doc_id", "first_word"]).itertuples():
+        assert len(brute.words(r.text)) == r.n_words
+        have.setdefault(None if pd.isna(r.doc_id) else int(r.doc_id), []).extend(brute.words(r.text))
+    assert have == {k: brute.words(t) for k, t in rows if brute.words(t)}
+    assert out.groupby("sequence_id")["n_words"].sum().max() <= 300
+    assert out.groupby(["sequence_id", "source"], dropna=False).size().max() <= packing.PER_SOURCE
+    text = {k: t for k, t in rows}
+    copies = out[~out["doc_id"].isna()].assign(h=[hashlib.md5(text[int(k)].encode()).hexdigest() for k in out["doc_id"].dropna()])
+    assert copies.groupby(["sequence_id", "h"])["doc_id"].nunique().max() == 1
+    assert packing.pack(empty(docs)).count() == 0
+
+
+def test_best_fit_is_tightest():
+    r = np.random.default_rng(8)
+    bins = packing.Bins(100, 2)
+    for _ in range(400):
+        size, source, cluster = int(r.integers(1, 60)), int(r.integers(0, 4)), (int(r.integers(0, 9)) if r.integers(0, 2) else None)
+        fits = [left for b, left in enumerate(bins.left) if left >= size and not bins.sources[b] >> source & 1 and not (cluster is not None and bins.clusters[b] >> cluster & 1)]
+        before = list(bins.left)
+        b = bins.add(size, source, cluster)
+        assert (before[b] == min(fits)) if fits else b == len(before)
