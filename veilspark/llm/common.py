@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +88,16 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def pieces(frame: pd.DataFrame, *columns: str, limit: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Runs of rows of ``frame`` with about ``limit`` characters in the text columns, so that whole-array steps stay small."""
+    size = sum(frame[c].str.len().fillna(0).astype(np.int64) for c in columns)
+    part = ((size.cumsum() - size) // limit).to_numpy()
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+        if b > a:
+            yield frame.iloc[a:b]
+
+
 # Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_ENDS = np.zeros(256, bool)
 WORD_ENDS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

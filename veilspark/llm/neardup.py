@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, U64, materialize, mix, signed, table, word_ranges
+from .common import Rolling, U64, materialize, mix, pieces, signed, table, word_ranges
 from .components import components
 
 SLOTS, ROWS = 128, 4
@@ -91,8 +91,7 @@ def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
 def _sketch(size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for i in range(0, len(f), 256):
-                part = f.iloc[i : i + 256]
+            for part in pieces(f, "text"):
                 d, h = shingle_sets([t.encode() if isinstance(t, str) else b"" for t in part["text"]], size)
                 n = len(part)
                 count = np.bincount(d, minlength=n)
@@ -114,8 +113,7 @@ def _similar(size: int, percent: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for i in range(0, len(f), 256):
-                part = f.iloc[i : i + 256]
+            for part in pieces(f, "text_a", "text_b"):
                 n = len(part)
                 d, h = shingle_sets([t.encode() for t in (*part["text_a"], *part["text_b"])], size)
                 count = np.bincount(d, minlength=2 * n)

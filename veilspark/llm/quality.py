@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, U64, mix, table, with_fields, word_ranges
+from .common import Rolling, U64, mix, pieces, table, with_fields, word_ranges
 
 MAX_TRAIN = 20_000
 SYMBOLS = np.zeros(256, bool)
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep_r
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (p for frame in frames for p in pieces(frame, "text")):
             out = statistics([(t or "").encode() for t in f["text"]])[list(FEATURES)]
             out.insert(0, "doc_id", f["doc_id"].to_numpy())
             out["quality"] = f["quality"].to_numpy()
@@ -190,7 +190,7 @@ def judge(df: DataFrame, model: Trees | None) -> DataFrame:
     schema = with_fields(df, ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, score double, kept boolean")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (p for frame in frames for p in pieces(frame, "text")):
             s = statistics([t.encode() if isinstance(t, str) else b"" for t in f["text"]])
             failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
             score = model.score(s[list(FEATURES)].to_numpy(float)) if model else np.ones(len(f))
