@@ -8,9 +8,11 @@ writes can hold them; ``export_files`` copies them out one by one.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 from pathlib import Path
 
 import numpy as np
@@ -22,7 +24,7 @@ from .common import materialize, table
 
 BLOCK, PERCENTILE, MAGIC = 128, 90, b"PFR1"
 FILE_TOKENS = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def encode_blocks(ids: np.ndarray) -> bytes:
@@ -86,6 +88,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
 
@@ -101,13 +104,12 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         cut = [(t or "").encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*cut)
-        if len(self.cache) + len(wanted) > CACHE_WORDS:
-            self.cache = {w: self.cache[w] for w in wanted if w in self.cache}
-        missing = [w for w in wanted if w not in self.cache]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = {w: self.cache[w] for w in set(chain.from_iterable(cut)) if w in self.cache}
+        missing = set(filterfalse(self.cache.__contains__, chain.from_iterable(cut)))
         # a word with one trailing comma or full stop is the word and the mark, two tokens' worth of pieces
         marked = [w for w in missing if w[-1:] in (".", ",") and w[:-1].isascii() and w[:-1].isalpha()]
-        self._learn(list({w[:-1] for w in marked if w[:-1] not in self.cache} | {m for m in ".," if m not in self.cache} | set(missing).difference(marked)))
+        self._learn(list({w[:-1] for w in marked if w[:-1] not in self.cache} | {m for m in ".," if m not in self.cache} | missing.difference(marked)))
         for w in marked:
             self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1]]
         get, end = self.cache.__getitem__, np.array([end_id], "<u4").tobytes()
