@@ -19,8 +19,8 @@ from .common import Rolling, U64, materialize, mix, pieces, signed, table, word_
 from .components import components
 
 SLOTS, ROWS = 128, 4
-# Fewest equal 8-bit slots of a pair worth verifying: 6.7 standard deviations below what a similarity of 0.8 gives.
-LEAST_EQUAL = 72
+# Fewest equal 8-bit slots of a pair worth verifying: 5.4 standard deviations below what a similarity of 0.8 gives.
+LEAST_EQUAL = 78
 _STEP = 0x9E3779B97F4A7C15
 
 
