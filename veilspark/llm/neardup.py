@@ -8,6 +8,7 @@ different components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,31 +128,87 @@ def _similar(size: int, percent: int):
     return run
 
 
-def _block_pairs(percent: int):
-    """Pairs of one block pair of a bucket that lie in different components and may be similar: sizes near enough, enough equal slots."""
+def _full_sets(size: int):
+    """The distinct shingles of each text, as the bytes of sorted 64-bit hashes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for part in pieces(f, "text"):
+                d, h = shingle_sets([t.encode() for t in part["text"]], size)
+                cuts = np.searchsorted(d, np.arange(len(part) + 1))
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "shingles": [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+    return run
+
+
+def _block_links(percent: int):
+    """Links that join components, of one pair of blocks (or of one block with itself).
+
+    Every pair in different components whose sizes are near enough and that agrees in enough slots is verified on full sets,
+    here and not as a row of its own. Components that a link joins count as one from then on, so a pair of blocks gives fewer
+    links than it has components.
+    """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
-        x, y = f[f["block"] == i], f[f["block"] == j]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        sx, sy = (np.stack([np.frombuffer(s, np.uint8) for s in z["sig"]]) for z in (x, y))
-        out_a, out_b = [], []
-        for r in range(len(x)):
-            n, m = int(x["n"].iloc[r]), y["n"].to_numpy()
-            fit = (y["comp"].to_numpy() != x["comp"].iloc[r]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            if i == j:
-                fit[: r + 1] = False
-            at = np.flatnonzero(fit)
-            at = at[(sy[at] == sx[r]).sum(axis=1) >= LEAST_EQUAL]
-            out_a.append(np.full(len(at), x["rep"].iloc[r])), out_b.append(y["rep"].to_numpy()[at])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        f = f.sort_values(["own", "rep"]).reset_index(drop=True)
+        left = (f["own"] == f["p"]).to_numpy()
+        right = np.flatnonzero((f["own"] == f["q"]).to_numpy())
+        rep, n = f["rep"].to_numpy(), f["n"].to_numpy()
+        comp = np.unique(f["comp"].to_numpy(), return_inverse=True)[1]
+        sig = np.stack([np.frombuffer(x, np.uint8) for x in f["sig"]])
+        sets = [np.frombuffer(x, U64) for x in f["shingles"]]
+        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        mine = np.zeros(len(names), np.int64)
+        u, v = [], []
+        for r in np.flatnonzero(left):
+            at = right[(comp[right] != comp[r]) & (100 * np.minimum(n[r], n[right]) >= percent * np.maximum(n[r], n[right]))]
+            at = at[(sig[at] == sig[r]).sum(axis=1) >= LEAST_EQUAL]
+            if not len(at):
+                continue
+            own = ids[starts[r] : starts[r + 1]]
+            mine[own] = 1
+            for some in np.array_split(at, 1 + int(n[at].sum()) // (1 << 22)):
+                size = n[some]
+                ends = np.cumsum(size)
+                shared = np.add.reduceat(mine[ids[np.repeat(starts[some] - ends + size, size) + np.arange(ends[-1])]], ends - size)
+                for k in some[100 * shared >= percent * (n[r] + size - shared)]:
+                    if comp[k] != comp[r]:
+                        u.append(rep[r]), v.append(rep[k])
+                        comp[comp == comp[k]] = comp[r]
+            mine[own] = 0
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
     return run
 
 
-def near_duplicates(df: DataFrame, size: int = 4, percent: int = 80, star_rounds: int = 2, block: int = 512) -> DataFrame:
+def _open_links(open_: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int, block: int, shingles: int) -> DataFrame:
+    """Links between documents of different components that share a band (band, key, rep, comp), enough to join what belongs together.
+
+    Buckets that share documents form a cluster; a document goes there once, not once for each band. Within a cluster, documents
+    meet those of their own class of set sizes and of the two next to it (further ones are too small or too large), in pairs of
+    blocks of about ``block`` documents or ``shingles`` shingles. The largest component of a cluster does not meet itself.
+    """
+    buckets = open_.groupBy("band", "key").agg(F.min("rep").alias("v"))
+    cluster = components(open_.join(buckets, ["band", "key"]).select(F.col("rep").alias("u"), "v").distinct())
+    rows = open_.select("rep", "comp").distinct().join(cluster.select(F.col("u").alias("rep"), F.col("v").alias("cluster")), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    width = -math.log(percent / 100)
+    rows = materialize(rows.join(sets.select("rep", "n", "sig"), "rep").withColumn("class", F.floor(F.log("n") / width).cast("int")), "open")
+    largest = rows.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
+    rows = rows.join(largest, "cluster").withColumn("rest", F.col("comp") != F.col("largest")).drop("largest")
+    blocks = rows.groupBy("cluster", "class", "rest").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / shingles)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, ["cluster", "class", "rest"])
+    own = F.struct("class", "rest", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    met = blocks.select("cluster", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"), F.col("class").alias("other_class"), F.col("rest").alias("other_rest"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block"))
+    placed = rows.withColumn("own", own).join(met, ["cluster", "class"]).filter("rest or other_rest")
+    other = F.struct(F.col("other_class").alias("class"), F.col("other_rest").alias("rest"), F.col("other_block").alias("block"))
+    placed = placed.select("cluster", "rep", "comp", "n", "sig", "own", F.least("own", other).alias("p"), F.greatest("own", other).alias("q"))
+    named = [F.to_json(c).alias(c) for c in ("own", "p", "q")]
+    full = texts.join(rows.select("rep").distinct(), "rep", "left_semi").mapInPandas(_full_sets(size), "rep long, shingles binary")
+    return placed.select("cluster", "rep", "comp", "n", "sig", *named).join(full, "rep").groupBy("cluster", "p", "q").applyInPandas(_block_links(percent), "u long, v long")
+
+
+def near_duplicates(df: DataFrame, size: int = 4, percent: int = 80, star_rounds: int = 2, block: int = 1024, shingles: int = 1 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``df`` (doc_id, text).
 
     Two documents are linked where their sets of distinct ``size``-word shingles have at least ``percent`` % in common; a text
@@ -191,13 +248,9 @@ def near_duplicates(df: DataFrame, size: int = 4, percent: int = 80, star_rounds
         links = components(found if links is None else found.union(links))
 
     now = with_component(members, links)
-    mixed = now.groupBy("band", "key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("c1 <> c2").drop("c1", "c2")
-    open_ = now.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # each block meets each block of its bucket once: block pairs (i, j) with i <= j
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    open_ = open_.join(sets.select("rep", "n", "sig"), "rep").withColumn("other", other).select("band", "key", "rep", "comp", "n", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = open_.groupBy("band", "key", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long").distinct()
-    links = components(verified(materialize(rest, "open_pairs")).union(links) if links is not None else verified(rest))
+    mixed = now.groupBy("band", "key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").drop("c1", "c2")
+    found = materialize(_open_links(materialize(now.join(mixed, ["band", "key"]), "mixed"), sets, texts, size, percent, block, shingles), "open_links")
+    links = components(found if links is None else found.union(links))
     groups = with_component(sets.select("rep", "f1", "f2", "n"), links).select("f1", "f2", "n", "comp")
     out = sketched.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
