@@ -5,6 +5,7 @@ import pytest
 from veilspark.operators import anonymize as an
 from veilspark.operators.analyze import analyze
 from veilspark.plans.catalog import from_config, select
+from veilspark.sources.text import report
 
 
 def test_selection():
@@ -22,3 +23,30 @@ def test_analyze_and_anonymize(spark):
     assert out[0].anonymized == "mail <EMAIL_ADDRESS>, card <CREDIT_CARD>"
     assert [(i.start, i.end) for i in out[0]["items"]] == [(5, 20), (27, 40)]
     assert out[1].findings == [] and out[1].anonymized == "" and out[2].anonymized is None
+
+
+def _texts(spark, text, entity):
+    out = analyze(spark.createDataFrame([(text,)], "text string"), entities=[entity]).collect()[0]
+    return [text[f.start : f.end] for f in out.findings]
+
+
+def test_iban_by_country(spark):
+    text = "DE89 3704 0044 0532 0130 00 AND GB82WEST12345698765432, FR1420041010050500013M02606; DE88370400440532013000 ZZ89370400440532013000"
+    assert sorted(_texts(spark, text, "IBAN_CODE")) == ["DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "GB82WEST12345698765432"]
+
+
+def test_wallets(spark):
+    good = ["1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"]
+    text = " ".join([*good, "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5"])
+    assert sorted(_texts(spark, text, "CRYPTO")) == sorted(good)
+
+
+def test_report(spark):
+    df = spark.createDataFrame([("a.txt", 3, "EMAIL_ADDRESS", 4, 9, 0.5, "R"), (None, 1, "URL", 0, 2, 1.0, None)], "file string, line int, entity_type string, start int, end int, score double, recognizer string")
+    lines = lambda style: [r.value for r in report(df, style).orderBy("start").collect()][::-1]
+    assert lines("standard") == ["  3:5       0.5      EMAIL_ADDRESS", "  1:1       1.0      URL"]
+    assert lines("github") == ["::0.5 file=a.txt,line=3,col=5::3:5 [EMAIL_ADDRESS]", None]
+    assert lines("parsable")[0] == '{"file":"a.txt","line":3,"column":5,"entity_type":"EMAIL_ADDRESS","start":4,"end":9,"score":0.5,"recognizer":"R"}'
+    assert lines("colored")[1].endswith("URL")
+    with pytest.raises(ValueError):
+        report(df, "xml")
