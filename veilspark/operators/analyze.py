@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import find
+from ..functions.spans import find, let
 from ..plans.catalog import Recognizer, select
 
 FINDING = "struct<entity_type:string,start:int,end:int,score:double,recognizer:string,score_enhanced:boolean,supportive_context_word:string>"
@@ -18,15 +18,22 @@ def _scan(text: Column, r: Recognizer, context: tuple[str, ...]) -> Column:
 
     def scored(score: float):
         def finding(m: Column) -> Column:
-            ok = r.validate(m["text"]) if r.validate else F.lit(None).cast("boolean")
-            base = F.when(ok, F.lit(1.0)).when(~ok, F.lit(0.0)).otherwise(F.lit(float(score)))
-            before = F.slice(F.reverse(F.split(F.lower(F.substring(text, F.greatest(F.lit(1), m["start"] - 79), F.least(m["start"], F.lit(80)))), r"[^\p{L}\p{N}#]+")), 1, WORDS_BEFORE + 1)
-            hit = F.try_element_at(F.filter(F.array(*map(F.lit, words)), lambda w: F.exists(before, lambda b: b.contains(w))), F.lit(1)) if words else F.lit(None).cast("string")
-            raised = F.when(hit.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(FLOOR), base + BOOST))).otherwise(base)
-            return F.struct(F.lit(r.entity).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), F.when(base > 0, raised).otherwise(0.0).alias("score"), F.lit(r.name).alias("recognizer"), (hit.isNotNull() & (base > 0)).alias("score_enhanced"), hit.alias("supportive_context_word")).cast(FINDING)
+            base = F.coalesce(r.validate(m["text"]).cast("double"), F.lit(float(score))) if r.validate else F.lit(float(score))
+            return let(base, lambda base: let(F.when(base > 0, supported(m)), lambda hit: made(m, base, hit)))
 
         return finding
 
+    def supported(m: Column) -> Column:
+        """First context word that stands in one of the words before the match, or null."""
+        if not words:
+            return F.lit(None).cast("string")
+        before = F.slice(F.reverse(F.split(F.lower(F.substring(text, F.greatest(F.lit(1), m["start"] - 79), F.least(m["start"], F.lit(80)))), r"[^\p{L}\p{N}#]+")), 1, WORDS_BEFORE + 1)
+        return let(before, lambda before: F.try_element_at(F.filter(F.array(*map(F.lit, words)), lambda w: F.exists(before, lambda b: b.contains(w))), F.lit(1)))
+
+    def made(m: Column, base: Column, hit: Column) -> Column:
+        score = F.when(hit.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(FLOOR), base + BOOST))).otherwise(base)
+        return F.struct(F.lit(r.entity).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), score.alias("score"), F.lit(r.name).alias("recognizer"), hit.isNotNull().alias("score_enhanced"), hit.alias("supportive_context_word")).cast(FINDING)
+
     parts = [F.transform(find(text, pattern), scored(score)) for pattern, score in r.patterns]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checksums, spans
 from ..operators import algebra, anonymize as an
 from ..operators.analyze import analyze, contains_pii, explode
+from ..sources.text import spread
 from .catalog import Recognizer, deny_list
 
 # patterns that Java and RE2 match alike
@@ -23,8 +24,13 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """Only the columns that a query names go through the shuffle of ``spread``."""
+    return spread(_read(spark, d, name).select(*columns))
+
+
 def _found(spark: SparkSession, d: str, rules: list[Recognizer] | None = None, **options) -> DataFrame:
-    return explode(analyze(_read(spark, d, "documents"), recognizers=rules or RULES, **options))
+    return explode(analyze(_texts(spark, d, "documents", "doc_id", "source", "lang", "text"), recognizers=rules or RULES, **options))
 
 
 def email_findings(s, d):
@@ -32,11 +38,11 @@ def email_findings(s, d):
 
 
 def ip_findings(s, d):
-    return _read(s, d, "documents").select("doc_id", F.explode(spans.find(F.col("text"), IP)).alias("m")).filter(checksums.ip(F.col("m.text"))).select("doc_id", F.col("m.text").alias("ip"))
+    return _texts(s, d, "documents", "doc_id", "text").select("doc_id", F.explode(spans.find(F.col("text"), IP)).alias("m")).filter(checksums.ip(F.col("m.text"))).select("doc_id", F.col("m.text").alias("ip"))
 
 
 def card_luhn_findings(s, d):
-    rows = _read(s, d, "documents").select("doc_id", F.explode(spans.find(F.col("text"), CARD)).alias("m"))
+    rows = _texts(s, d, "documents", "doc_id", "text").select("doc_id", F.explode(spans.find(F.col("text"), CARD)).alias("m"))
     return rows.select("doc_id", F.col("m.text").alias("card"), checksums.luhn(F.col("m.text")).alias("valid"))
 
 
@@ -54,7 +60,7 @@ def top_documents(s, d):
 
 
 def contains(s, d):
-    docs = analyze(_read(s, d, "documents"), recognizers=RULES)
+    docs = analyze(_texts(s, d, "documents", "doc_id", "lang", "text"), recognizers=RULES)
     return docs.groupBy("lang", contains_pii(F.col("findings")).alias("has_pii")).agg(F.count("*").alias("n"))
 
 
@@ -71,12 +77,12 @@ def allow_regex(s, d):
 
 
 def redact_replace(s, d):
-    out = an.anonymize(analyze(_read(s, d, "documents"), recognizers=RULES[:1]), items=None)
+    out = an.anonymize(analyze(_texts(s, d, "documents", "doc_id", "lang", "text"), recognizers=RULES[:1]), items=None)
     return out.select("doc_id", F.md5("anonymized").alias("h"))
 
 
 def redact_keep(s, d):
-    out = an.anonymize(analyze(_read(s, d, "documents"), recognizers=RULES[:1]), operators={"DEFAULT": an.keep()}, items=None)
+    out = an.anonymize(analyze(_texts(s, d, "documents", "doc_id", "lang", "text"), recognizers=RULES[:1]), operators={"DEFAULT": an.keep()}, items=None)
     return out.select("doc_id", F.md5("anonymized").alias("h"))
 
 
@@ -90,12 +96,12 @@ def hash_sha256(s, d):
 
 
 def conversation_redaction(s, d):
-    out = an.anonymize(analyze(_read(s, d, "conversations"), recognizers=RULES[:1]), operators={"DEFAULT": an.redact()}, items=None)
+    out = an.anonymize(analyze(_texts(s, d, "conversations", "role", "text"), recognizers=RULES[:1]), operators={"DEFAULT": an.redact()}, items=None)
     return out.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("anonymized")).alias("chars"))
 
 
 def url_findings_pages(s, d):
-    rows = _read(s, d, "pages").select("page_id", F.explode(spans.find(F.col("html"), r"https?://[A-Za-z0-9./_-]+")).alias("m"))
+    rows = _texts(s, d, "pages", "page_id", "html").select("page_id", F.explode(spans.find(F.col("html"), r"https?://[A-Za-z0-9./_-]+")).alias("m"))
     return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("m.text")).alias("chars"))
 
 
@@ -115,7 +121,7 @@ def merge_same_type(s, d):
 
 def aes_roundtrip(s, d):
     key = "WmZq4t7w!z%C&F)J"
-    docs = analyze(_read(s, d, "documents"), recognizers=RULES)
+    docs = analyze(_texts(s, d, "documents", "doc_id", "lang", "text"), recognizers=RULES)
     out = an.anonymize(docs, operators={"DEFAULT": an.encrypt(key)})
     back = an.deanonymize(out, "anonymized", "items", {"DEFAULT": an.decrypt(key)})
     return back.select("doc_id", (F.col("restored") == F.col("text")).alias("same"))
@@ -123,7 +129,7 @@ def aes_roundtrip(s, d):
 
 def all_recognizers(s, d):
     """Every default English recognizer over whole documents, with context: the headline query."""
-    return explode(analyze(_read(s, d, "documents"))).groupBy("entity_type").agg(F.count("*").alias("n"), F.sum(F.col("score_enhanced").cast("int")).alias("raised"))
+    return explode(analyze(_texts(s, d, "documents", "text"))).groupBy("entity_type").agg(F.count("*").alias("n"), F.sum(F.col("score_enhanced").cast("int")).alias("raised"))
 
 
 _EMAILS = f"SELECT doc_id, source, lang, 'EMAIL_ADDRESS' AS entity_type, unnest(regexp_extract_all(text, '{EMAIL}')) AS span FROM documents"
