@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LINK = "u long, v long"
+LINKS_A_TASK = 1 << 18
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,25 +44,29 @@ def _least(links: DataFrame) -> DataFrame:
 
 def _round(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     small = down.join(_least(down), "u")
     return small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
+def _open_nodes(links: DataFrame) -> tuple[int, int]:
+    """Number of links, and of nodes that keep them from being stars: those with two links down, or with links both down and up."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(links.select("v", F.lit(0), F.lit(1)))
+    by_node = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return tuple(by_node.agg(F.coalesce(F.sum("down"), F.lit(0)), F.count_if(F.expr("down > 1 or (down > 0 and up > 0)"))).collect()[0])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``u, v`` for every node of ``links`` (u long, v long) that is not the smallest of its component: v is the smallest.
 
-    Loops and repeated links do no harm; an empty table gives no rows. No step gathers more than a partition in one place.
+    Loops and repeated links do no harm; an empty table gives no rows. No step gathers more than a partition in one place: a round
+    ends in two tasks for each core, or more where there are over ``LINKS_A_TASK`` links for each.
     """
-    state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).collect()[0]
     now = materialize(links.select("u", "v").filter("u <> v").mapInPandas(_contract, LINK), "links")
-    seen = state(now)
-    while seen[0]:
-        now = materialize(_round(now).mapInPandas(_contract, LINK), "links")
-        if (new := state(now)) == seen:
-            # stable counts and hashes: every node must point at a node that points nowhere
-            if now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and now.groupBy("u").count().filter("count > 1").isEmpty():
-                break
-        seen = new
+    n, open_ = _open_nodes(now)
+    while open_:
+        tasks = max(2 * now.sparkSession.sparkContext.defaultParallelism, 2 * n // LINKS_A_TASK)
+        now = materialize(_round(now).coalesce(tasks).mapInPandas(_contract, LINK), "links")
+        n, open_ = _open_nodes(now)
     return now
