@@ -198,6 +198,45 @@ def test_neighbours(spark):
     assert len(few) == 2
 
 
+@pytest.mark.parametrize("case", ["outlier", "lognormal", "opposite"])
+def test_neighbours_of_unequal_norms(spark, case, monkeypatch):
+    """Every range of norms over 300 vectors is hashed; smaller ones and queries that find too few are scored whole."""
+    monkeypatch.setattr(ann, "EXACT_ROWS", 40 if case == "lognormal" else 300)
+    r = np.random.default_rng(5)
+    centre = r.normal(size=(40, 64))
+    x = centre[r.integers(0, 40, 1500)] + 0.7 * r.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if case == "outlier":
+        x[7] *= 100
+    elif case == "lognormal":
+        x *= r.lognormal(0, 0.3, (1500, 1))
+    else:  # the queries point away from everything else
+        x = x[0] + 0.002 * r.normal(size=(1500, 64))
+        x[::20] *= -1
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = F.col("vec_id").isin(0, 700) if case == "opposite" else F.col("vec_id") % 20 == 0
+    if case == "opposite":
+        df = df.filter("vec_id % 20 > 0 or vec_id in (0, 700)")
+    got = ann.nearest(ann.usable(df), asked).toPandas()
+    have = np.array(sorted(r.vec_id for r in df.select("vec_id").collect()))
+    hits = []
+    for q in [0, 700] if case == "opposite" else range(0, 1500, 20):
+        others = have[have != q]
+        true = others[np.lexsort((others, -(x[others] @ x[q])))][:20]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21))
+        hits.append(len({*true.tolist()} & {*mine["vec_id"].tolist()}))
+    assert sum(hits) / (20 * len(hits)) >= (1 if case == "opposite" else 0.9)
+
+
+def test_neighbours_of_small_tables(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").filter("vec_id < 40")
+    got = Counter(r.query_id for r in ann.nearest(ann.usable(d), F.col("vec_id") % 20 == 0, k=30).collect())
+    assert got == {0: 30, 20: 30}
+    assert ann.nearest(ann.usable(d.filter("vec_id < 15")), F.col("vec_id") == 0).count() == 14
+
+
 def test_hadamard_is_orthonormal():
     h = ann.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16))
