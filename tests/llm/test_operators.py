@@ -258,6 +258,21 @@ def test_write_shards(docs, tmp_path, rows):
     assert docs.sparkSession.read.parquet(f"file://{tmp_path}/out").count() == len(rows)
 
 
+def test_shards_are_read_back(spark, tmp_path, docs, rows, monkeypatch):
+    """The result of op9 comes from written shards that hold every column of every row."""
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    paths = []
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path, *a, f=sharding.write_shards: (paths.append(path), f(df, path, *a)))
+    out = sharding.op9_shards(spark, f"file://{tmp_path}").collect()
+    assert len(paths) == 1
+    assert same([(r.doc_id, r.text_crc32, r["size"]) for r in out], [(k, brute.crc(t), len((t or "").encode()) + 8) for k, t in rows])
+    whole = spark.read.parquet(paths[0])
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert same([tuple(r) for r in whole.select(cols).collect()], [tuple(r) for r in docs.select(cols).collect()])
+    assert same([(r.doc_id, r.shard, r.slot) for r in out], [(r.doc_id, r.shard, r.slot) for r in whole.collect()])
+    assert set(Counter(r.shard for r in out).values()) <= {len(rows) // 24, len(rows) // 24 + 1}
+
+
 def test_quality_statistics(docs, rows):
     got = quality.statistics([(t or "").encode() for _, t in rows])
     for (k, t), mine in zip(rows, got.itertuples(index=False), strict=True):
