@@ -38,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose source, language and topic shares are tempered, nine tenths of the tokens."""
+    """A sample whose source, language and topic shares are tempered, nine tenths of the tokens at most."""
     return mixing.mix(docs.select(*COLUMNS)).filter("sampled").select(*COLUMNS)
 
 

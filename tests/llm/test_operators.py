@@ -323,6 +323,21 @@ def test_mixing(docs, rows):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixing_meets_targets(spark):
+    """Shares of the sampled rows at the parameters of op6, in all three dimensions."""
+    out = mixing.op6_mixing(spark, "/root/testdata/sf0.1").toPandas()
+    out["tokens"] = out["n_tokens"].clip(lower=1)
+    cells = out.groupby(list(mixing.DIMENSIONS), dropna=False)["tokens"].sum().reset_index()
+    expected = out["tokens"] * out["rate"]
+    for d, want in mixing.tempered(cells, 0.7).items():
+        for v, share in want.items():
+            at = out[d].isna() if v is None else out[d] == v
+            assert abs(expected[at].sum() / expected.sum() - share) < 1e-3, (d, v)
+            sample = out["tokens"][out["sampled"]]
+            assert abs(sample[at].sum() / sample.sum() - share) < 0.02, (d, v)
+    print("share of tokens:", sample.sum() / out["tokens"].sum(), "documents:", out["sampled"].mean())
+
+
 def test_packing(docs, rows):
     out = packing.pack(docs, capacity=300, shard_rows=40).toPandas()
     have = {}

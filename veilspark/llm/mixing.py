@@ -59,17 +59,14 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict], rounds: int = 200, toler
 
 
 def rates(cells: pd.DataFrame, factor: np.ndarray, budget: float) -> np.ndarray:
-    """min(1, c x factor) with the c at which the cells' expected tokens are ``budget`` of all tokens."""
+    """c x factor with the c at which the cells' expected tokens are ``budget`` of all tokens; a rate over 1 asks for repeats."""
     tokens = cells["tokens"].to_numpy(float)
-    want, low, high = budget * tokens.sum(), 0.0, 1.0
-    if not len(tokens) or not (tokens * (factor > 0)).sum() > want:
-        return (factor > 0).astype(float)
-    while (tokens * np.minimum(1, high * factor)).sum() < want and high < 1e12:
-        high *= 2
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (tokens * np.minimum(1, mid * factor)).sum() < want else (low, mid)
-    return np.minimum(1, high * factor)
+    return budget * tokens.sum() / max(float((tokens * factor).sum()), 1e-300) * factor
+
+
+def without_repeats(rate: np.ndarray) -> np.ndarray:
+    """The rates scaled down together until none is over 1, so that the shares stay as they are."""
+    return rate / max(1.0, float(rate.max(initial=0)))
 
 
 def tempered(cells: pd.DataFrame, power: float) -> dict[str, dict]:
@@ -84,7 +81,8 @@ def tempered(cells: pd.DataFrame, power: float) -> dict[str, dict]:
 def mix(df: DataFrame, targets: dict[str, dict] | None = None, power: float = 0.7, budget: float = 0.9, seed: int = 6) -> DataFrame:
     """All rows and columns of ``df`` with ``n_tokens``, ``topic``, ``rate`` and ``sampled``. Needs doc_id, text, lang and source.
 
-    Without ``targets`` each marginal is tempered to ``power``. Documents without words count one token, so that they have a
+    Without ``targets`` each marginal is tempered to ``power``. The sample holds ``budget`` of the tokens at most: no document is drawn
+    twice, so where the cell to be raised most would need it, all rates are lower in the same proportion. Documents without words count one token, so that they have a
     cell weight too. Null values are values. The cells (source x lang x topic) go to the driver; above 1,000,000 of them
     this is refused. Columns of ``df`` named like the new ones are replaced.
     """
@@ -94,7 +92,7 @@ def mix(df: DataFrame, targets: dict[str, dict] | None = None, power: float = 0.
         raise ValueError(f"more than {MAX_CELLS} cells of {DIMENSIONS}")
     cells = cells.sort_values(list(DIMENSIONS), kind="stable").reset_index(drop=True)
     factor = rake(cells, targets or tempered(cells, power))
-    cells["rate"] = rates(cells, factor, budget)
+    cells["rate"] = without_repeats(rates(cells, factor, budget))
     known = df.sparkSession.createDataFrame([tuple(None if pd.isna(x) else x for x in r[:3]) + (float(r[3]),) for r in cells[[*DIMENSIONS, "rate"]].itertuples(index=False)], "s string, l string, t string, rate double")
     df = df.drop("rate", "sampled")
     on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(known[k]) for c, k in zip(DIMENSIONS, "slt", strict=True)])
