@@ -60,6 +60,18 @@ def test_tokens(spark, docs, rows):
     assert tokens.read_documents(tokens.encode_documents(empty(docs), path, 2)).count() == 0
 
 
+def test_tokens_of_raw_text():
+    """Capitals without a composed form, added tokens in other case, and all else that lowering early would change."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["J\u030c ok", "H\u0331 T\u0308 Y\u030a", "<|ENDOFTEXT|> a", "x<|endoftext|>Y <|StartOfText|>", "\u00c9COLE E\u0301cole ABC, Def.", "PLAIN Text\nTwo", "\u0130 \u1e9e \u03a3\u03a3"]
+    got = tokens.WordEncoder(path).encode(texts, 2)
+    assert [g.tolist() for g in got] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
 @pytest.mark.parametrize("size", [4, 5])
 def test_near_duplicates(docs, rows, size):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, size=size, block=8).collect()}

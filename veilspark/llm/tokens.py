@@ -78,10 +78,18 @@ def decode_blocks(data: bytes) -> np.ndarray:
     return (rows + low[:, None]).reshape(-1)[:n]
 
 
+def lowered(text: str) -> list[str]:
+    """Pieces of ``text`` between blanks and line feeds, in lower case where that cannot change their tokens."""
+    if text.isascii() and "<|" not in text:
+        return text.lower().replace("\n", " ").split(" ")
+    return [p.lower() if p.isascii() and "<|" not in p else p for p in text.replace("\n", " ").split(" ")]
+
+
 class WordEncoder:
     """Token ids of texts with a word tokenizer that drops white space. Text is cut at blanks and line feeds, where no
-    token or normalisation can span, ASCII letters are lowered as the tokenizer would, and pieces are looked up in a
-    bounded cache, so that the library encodes each piece once."""
+    token or normalisation can span, and pieces are looked up in a bounded cache, so that the library encodes each piece
+    once. Pieces of ASCII without ``<|`` are lowered as the tokenizer would; others go to it as they are, as it matches added
+    tokens on raw text and composes characters before it lowers them."""
 
     _made: dict[str, WordEncoder] = {}
 
@@ -103,7 +111,7 @@ class WordEncoder:
                 self.cache[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        cut = [(t or "").encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
+        cut = [lowered(t or "") for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache = {w: self.cache[w] for w in set(chain.from_iterable(cut)) if w in self.cache}
         missing = set(filterfalse(self.cache.__contains__, chain.from_iterable(cut)))
