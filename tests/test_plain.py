@@ -41,6 +41,12 @@ def test_wallets(spark):
     assert sorted(_texts(spark, text, "CRYPTO")) == sorted(good)
 
 
+def test_context_beyond_long_words(spark):
+    texts = ["SSN " + "x" * 120 + " 219-09-9999", "ssn one two three four five 219-09-9999"]
+    got = {r.text: r.findings for r in analyze(spark.createDataFrame([(x,) for x in texts], "text string"), entities=["US_SSN"]).collect()}
+    assert [any(f.score_enhanced for f in got[x]) for x in texts] == [True, False] and all(got.values())
+
+
 def test_report(spark):
     df = spark.createDataFrame([("a.txt", 3, "EMAIL_ADDRESS", 4, 9, 0.5, "R"), (None, 1, "URL", 0, 2, 1.0, None)], "file string, line int, entity_type string, start int, end int, score double, recognizer string")
     lines = lambda style: [r.value for r in report(df, style).orderBy("start").collect()][::-1]

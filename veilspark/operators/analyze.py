@@ -27,7 +27,9 @@ def _scan(text: Column, r: Recognizer, context: tuple[str, ...]) -> Column:
         """First context word that stands in one of the words before the match, or null."""
         if not words:
             return F.lit(None).cast("string")
-        before = F.slice(F.reverse(F.split(F.lower(F.substring(text, F.greatest(F.lit(1), m["start"] - 79), F.least(m["start"], F.lit(80)))), r"[^\p{L}\p{N}#]+")), 1, WORDS_BEFORE + 1)
+        # read backwards from the match, so that the split stops after the words that count
+        back = F.split(F.reverse(F.substring(text, F.lit(1), m["start"])), r"[^\p{L}\p{N}#]+", WORDS_BEFORE + 2)
+        before = F.transform(F.slice(back, 1, WORDS_BEFORE + 1), lambda w: F.lower(F.reverse(w)))
         return let(before, lambda before: F.try_element_at(F.filter(F.array(*map(F.lit, words)), lambda w: F.exists(before, lambda b: b.contains(w))), F.lit(1)))
 
     def made(m: Column, base: Column, hit: Column) -> Column:
