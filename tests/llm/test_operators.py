@@ -68,8 +68,38 @@ def test_tokens_of_raw_text():
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     texts = ["J\u030c ok", "H\u0331 T\u0308 Y\u030a", "<|ENDOFTEXT|> a", "x<|endoftext|>Y <|StartOfText|>", "\u00c9COLE E\u0301cole ABC, Def.", "PLAIN Text\nTwo", "\u0130 \u1e9e \u03a3\u03a3"]
-    got = tokens.WordEncoder(path).encode(texts, 2)
-    assert [g.tolist() for g in got] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    texts += ["a\x1cb c\x85d \xa0e", "\u00c9t\u00e9, \u00aa\u00ba\u00b5 \u00d7 \u00df. don't 'S", "\ttab\x0bv\x0cf\rr", "", " \n ", "...,,, a.,", None, "x1y2 \u0660\u4e00\u4e8c"]
+    _same_ids(tokens.WordEncoder(path), t, texts)
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    coder = tokens.WordEncoder(other)
+    assert not coder.by_piece
+    _same_ids(coder, Tokenizer.from_file(other), texts)
+
+
+def _same_ids(coder, tokenizer, texts):
+    for _ in range(2):  # the second time from the cache
+        ids, counts = coder.encode(texts, 2)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [[*tokenizer.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+
+
+def test_tokens_small_cache(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 20)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = tokens.WordEncoder(path)
+    for i in range(5):
+        _same_ids(coder, Tokenizer.from_file(path), [" ".join(f"w{chr(97 + j)}{chr(97 + i)}" for j in range(26))] * 2)
+
+
+def test_one_document_by_the_index():
+    r = np.random.default_rng(6)
+    parts = [r.integers(0, 49_000, n).astype(np.uint32) for n in (0, 5, 300, 128, 1, 5000)]
+    data = tokens._file([4, None, 7, 7, 9, 11], np.array([len(x) for x in parts]), np.concatenate(parts))
+    for k, want in ((4, [0]), (None, [1]), (7, [2, 3]), (9, [4]), (11, [5]), (5, [])):
+        assert [x.tolist() for x in tokens.read_one(data, k)] == [parts[i].tolist() for i in want]
 
 
 @pytest.mark.parametrize("size", [4, 5])
