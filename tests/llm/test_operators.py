@@ -129,6 +129,25 @@ def test_near_duplicates_chain(spark):
     assert neardup.near_duplicates(df.filter("doc_id < 0")).count() == 0
 
 
+def test_near_duplicates_compare_words(spark):
+    """Words that a polynomial modulo 2**64 cannot tell apart, repeated ids with other texts, and words cut at slices."""
+    a = "a"
+    b = "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    long_ = "x" * 3_000_000 + " " + "y z " * 5
+    out = [(1, a), (2, b), (3, a), (4, "one two three four five six"), (4, "seven eight nine ten"), (5, "Seven eight nine TEN"), (5, None), (6, long_), (7, long_ + " "), (8, long_[1:]), (8, long_[1:])]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept, r.stays) for r in neardup.near_duplicates(spark.createDataFrame(out, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1, True, True), (2, 1, 2, True, True), (3, 1, 1, False, False), (4, 1, 4, True, True), (4, 3, 4, True, True), (5, 0, 5, True, True), (5, 1, 4, False, False), (6, 3, 6, True, True), (7, 3, 6, False, False), (8, 3, 8, True, True), (8, 3, 8, True, True)]
+
+
+def test_exact_names():
+    texts = [b"a b c d e", b"A B C D", b"x", b"X", b"", b"x y", b"b c d e"]
+    d, name = neardup.exact_names(texts, 4)
+    assert d.tolist() == [0, 0, 1, 2, 3, 5, 6]
+    assert name[0] == name[2] and name[1] == name[6] and name[3] == name[4] and len(set(name.tolist())) == 4
+
+
 def test_superminhash_estimates_jaccard():
     r = np.random.default_rng(3)
     h = r.integers(0, 2**63, 1500).astype(np.uint64)

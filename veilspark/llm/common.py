@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from functools import wraps
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +22,11 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a local default where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/veilspark"
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local default in local mode (tests), an error elsewhere."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or "file:///tmp/checkpoints/veilspark"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -29,7 +37,47 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     # shuffle files of what was just written go once nothing refers to them
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside: rows that hold whole texts are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that hands freed memory back to the system at its end, as the worker stays for later tasks."""
+
+    @wraps(run)
+    def inner(frames: Iterator) -> Iterator:
+        try:
+            yield from run(frames)
+        finally:
+            release()
+
+    return inner
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
@@ -103,6 +151,40 @@ WORD_ENDS = np.zeros(256, bool)
 WORD_ENDS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+_TABLE_AT = 64
+SLICE = 1 << 20
+
+
+def _word_table(seed: int) -> np.ndarray:
+    """Random values for the bytes at the first places of a word, drawn from a fixed seed."""
+    return np.random.default_rng(seed).integers(0, 1 << 64, _TABLE_AT * 256, U64)
+
+
+_WORD_TABLES = (_word_table(64), _word_table(65))
+
+
+def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of each word data[ws:we]: the sum of random values of its bytes at their places, and the length, mixed. Texts are read in
+    slices, so that a long one takes no more memory than its bytes."""
+    out, values = np.zeros(len(ws), U64), _WORD_TABLES[which]
+    for a in range(0, len(data), SLICE):
+        b = min(len(data), a + SLICE)
+        i, j = np.searchsorted(we, a, side="right"), np.searchsorted(ws, b, side="left")
+        if i == j:
+            continue
+        s, e = np.maximum(ws[i:j], a), np.minimum(we[i:j], b)
+        size = e - s
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(s - ends + size, size)
+        place = at - np.repeat(ws[i:j], size)
+        part = values[((place & (_TABLE_AT - 1)) << 8) | data[at]]
+        far = np.flatnonzero(place >= _TABLE_AT)
+        if len(far):
+            part[far] = mix(part[far] + (place[far] // _TABLE_AT).astype(U64) * U64(_BASE))
+        out[i:j] += np.add.reduceat(part, ends - size)
+    return mix(out ^ ((we - ws).astype(U64) << U64(40)))
+
+
 def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word (maximal run without word ends) of a byte buffer."""
     inside = np.concatenate([[False], ~WORD_ENDS[data], [False]])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, release
 
 LINK = "u long, v long"
 LINKS_A_TASK = 1 << 18
@@ -36,6 +36,7 @@ def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         u, v = union_find(np.concatenate([u, f["u"].to_numpy(np.int64)]), np.concatenate([v, f["v"].to_numpy(np.int64)]))
     yield pd.DataFrame({"u": u, "v": v})
+    release()
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -67,6 +68,7 @@ def components(links: DataFrame) -> DataFrame:
     n, open_ = _open_nodes(now)
     while open_:
         tasks = max(2 * now.sparkSession.sparkContext.defaultParallelism, 2 * n // LINKS_A_TASK)
-        now = materialize(_round(now).coalesce(tasks).mapInPandas(_contract, LINK), "links")
+        before, now = now, materialize(_round(now).coalesce(tasks).mapInPandas(_contract, LINK), "links")
+        discard(before)
         n, open_ = _open_nodes(now)
     return now

@@ -10,53 +10,64 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, U64, materialize, mix, pieces, signed, table, word_ranges
+from .common import U64, batch_rows, discard, materialize, mix, pieces, release, signed, table, tidy, word_hashes, word_ranges
 from .components import components
 
 SLOTS, ROWS = 128, 4
-# Fewest equal 8-bit slots of a pair worth verifying: 5.4 standard deviations below what a similarity of 0.8 gives.
-LEAST_EQUAL = 78
+# Fewest equal 8-bit slots of a pair worth verifying: 6.7 standard deviations below what a similarity of 0.8 gives.
+LEAST_EQUAL = 72
+ELEMENTS = 1 << 17
+TEXT_ROWS = 1_000
 _STEP = 0x9E3779B97F4A7C15
 
 
-def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document index and hash of every distinct shingle, sorted. Words are cut at ASCII white space and lower-cased A-Z."""
+def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document index and two independent hashes of every distinct shingle, sorted by the first. Words are cut at ASCII white space and lower-cased A-Z."""
     data = np.frombuffer(b"\n".join(t.lower() for t in texts) + b"\n", np.uint8)
     doc_of_end = np.cumsum([len(t) + 1 for t in texts])
     ws, we = word_ranges(data)
     wd = np.searchsorted(doc_of_end, ws, side="right")
-    wh = Rolling(data).of(ws, we)
     n_words = np.bincount(wd, minlength=len(texts))
-
-    def chained(at: np.ndarray, k: int) -> np.ndarray:
-        h = np.full(len(at), k, U64)
-        for j in range(k):
-            h = mix(h * U64(0x100000001B3) + wh[at + j])
-        return h
-
     at = np.flatnonzero(wd[size - 1 :] == wd[: len(wd) - size + 1]) if len(wd) >= size else np.zeros(0, np.int64)
-    docs, hashes = [wd[at]], [chained(at, size)]
     first = np.concatenate([[0], np.cumsum(n_words)[:-1]])
-    for k in range(1, size):
-        short = np.flatnonzero(n_words == k)
-        docs.append(short), hashes.append(chained(first[short], k))
-    d, h = np.concatenate(docs), np.concatenate(hashes)
+    runs = [(at, size)] + [(first[n_words == k], k) for k in range(1, size)]
+    d = np.concatenate([wd[x] for x, _ in runs])
+
+    def hashes(which: int) -> np.ndarray:
+        wh, out = word_hashes(data, ws, we, which), []
+        for x, k in runs:
+            h = np.full(len(x), k, U64)
+            for j in range(k):
+                h = mix(h * U64(0x100000001B3) + wh[x + j])
+            out.append(h)
+        return np.concatenate(out)
+
+    h, g = hashes(0), hashes(1)
     order = np.lexsort((h, d))
-    d, h = d[order], h[order]
+    d, h, g = d[order], h[order], g[order]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-    return d[new], h[new]
+    return d[new], h[new], g[new]
 
 
 def superminhash(doc: np.ndarray, h: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
     """Signatures (n x slots) of n documents from their elements' hashes; documents without elements have infinite slots."""
     sig = np.full(n * slots, np.inf)
+    for i in range(0, len(doc), ELEMENTS):
+        _lower(sig, doc[i : i + ELEMENTS], h[i : i + ELEMENTS], n, slots)
+    return sig.reshape(n, slots)
+
+
+def _lower(sig: np.ndarray, doc: np.ndarray, h: np.ndarray, n: int, slots: int) -> None:
+    """Put some elements into the signatures."""
     perm: np.ndarray | None = None
     for j in range(slots):
         if not len(doc):
@@ -78,7 +89,6 @@ def superminhash(doc: np.ndarray, h: np.ndarray, n: int, slots: int = SLOTS) ->
             perm[np.arange(len(doc)), k] = 0
         elif not open_.all():
             doc, h, perm = doc[open_], h[open_], perm[open_]
-    return sig.reshape(n, slots)
 
 
 def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
@@ -90,40 +100,64 @@ def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _sketch(size: int):
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=1)
         for f in frames:
-            for part in pieces(f, "text"):
-                d, h = shingle_sets([t.encode() if isinstance(t, str) else b"" for t in part["text"]], size)
+            for part in pieces(f, "text", limit=1 << 19):
+                texts = [t.encode() if isinstance(t, str) else b"" for t in part["text"]]
+                d, h, g = shingle_sets(texts, size)
                 n = len(part)
                 count = np.bincount(d, minlength=n)
                 starts = np.searchsorted(d, np.arange(n))
                 total = lambda x: np.concatenate([[U64(0)], np.cumsum(x, dtype=U64)])
-                a, b = total(mix(h)), total(mix(h ^ U64(_STEP)))
+                a, b = total(mix(h)), total(mix(g))
                 ends = starts + count
                 sig = superminhash(d, h, n)
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "n": count.astype(np.int64), "f1": signed(a[ends] - a[starts]), "f2": signed(b[ends] - b[starts]),
+                    "doc_id": part["doc_id"].to_numpy(), "th": part["th"].to_numpy(), "n": count.astype(np.int64), "f1": signed(a[ends] - a[starts]), "f2": signed(b[ends] - b[starts]),
                     "sig": [x.tobytes() for x in (mix(np.ascontiguousarray(sig).view(U64)) & U64(255)).astype(np.uint8)], "bands": list(signed(_bands(sig, ROWS))),
+                    "z": [pack.compress(t) for t in texts],
                 })
 
     return run
 
 
+def exact_names(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document index and name of every shingle, equal names for equal words and no others: words are numbered, then pairs of numbers."""
+    split = [t.lower().split() for t in texts]
+    counts = np.array([len(w) for w in split], np.int64)
+    padded = np.where(counts > 0, np.maximum(counts, size), 0)
+    ids, words = pd.factorize(np.array(list(chain.from_iterable(split)), object))
+    ends = np.cumsum(padded)
+    flat = np.full(int(ends[-1]) if len(ends) else 0, len(words), np.int64)  # a text of few words is filled up with a number of its own
+    flat[np.arange(len(ids)) + np.repeat(ends - padded - np.cumsum(counts) + counts, counts)] = ids
+    doc = np.repeat(np.arange(len(texts)), padded)
+    at = np.flatnonzero(doc[size - 1 :] == doc[: len(doc) - size + 1]) if len(doc) >= size else np.zeros(0, np.int64)
+    name = flat[at]
+    for k in range(1, size):
+        name = pd.factorize(name * (len(words) + 1) + flat[at + k])[0]
+    return doc[at], name
+
+
 def _similar(size: int, percent: int):
-    """Pairs (a, b) of which the full sets of both texts overlap enough."""
+    """Pairs (a, b) of which the full sets of both texts overlap enough, compared word by word."""
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
         for f in frames:
-            for part in pieces(f, "text_a", "text_b"):
-                n = len(part)
-                d, h = shingle_sets([t.encode() for t in (*part["text_a"], *part["text_b"])], size)
-                count = np.bincount(d, minlength=2 * n)
-                pair = d % n
-                order = np.lexsort((h, pair))
-                p, x = pair[order], h[order]
-                shared = np.bincount(p[1:][(p[1:] == p[:-1]) & (x[1:] == x[:-1])], minlength=n)
-                ok = 100 * shared >= percent * (count[:n] + count[n:] - shared)
-                yield pd.DataFrame({"u": part["a"].to_numpy()[ok], "v": part["b"].to_numpy()[ok]})
+            for i in range(0, len(f), 128):
+                part = f.iloc[i : i + 128].reset_index(drop=True)
+                part["a_"], part["b_"] = ([unpack.decompress(z) for z in part[c]] for c in ("z_a", "z_b"))
+                for some in pieces(part, "a_", "b_", limit=1 << 19):
+                    n = len(some)
+                    d, name = exact_names([*some["a_"], *some["b_"]], size)
+                    left, right = (pd.DataFrame({"p": d[x] % n, "s": name[x]}).drop_duplicates() for x in (d < n, d >= n))
+                    count = np.bincount(left["p"], minlength=n) + np.bincount(right["p"], minlength=n)
+                    shared = np.bincount(left.merge(right, on=["p", "s"])["p"], minlength=n)
+                    ok = (shared > 0) & (100 * shared >= percent * (count - shared))
+                    yield pd.DataFrame({"u": some["a"].to_numpy()[ok], "v": some["b"].to_numpy()[ok]})
 
     return run
 
@@ -131,12 +165,15 @@ def _similar(size: int, percent: int):
 def _full_sets(size: int):
     """The distinct shingles of each text, as the bytes of sorted 64-bit hashes."""
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
         for f in frames:
-            for part in pieces(f, "text"):
-                d, h = shingle_sets([t.encode() for t in part["text"]], size)
-                cuts = np.searchsorted(d, np.arange(len(part) + 1))
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "shingles": [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+            for i in range(0, len(f), 128):
+                rep, texts = f["rep"].to_numpy()[i : i + 128], [unpack.decompress(z) for z in f["z"][i : i + 128]]
+                d, h, _ = shingle_sets(texts, size)
+                cuts = np.searchsorted(d, np.arange(len(texts) + 1))
+                yield pd.DataFrame({"rep": rep, "shingles": [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     return run
 
@@ -177,7 +214,10 @@ def _block_links(percent: int):
                         u.append(rep[r]), v.append(rep[k])
                         comp[comp == comp[k]] = comp[r]
             mine[own] = 0
-        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+        out = pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+        del f, sig, sets, names, ids, mine
+        release()
+        return out
 
     return run
 
@@ -204,29 +244,41 @@ def _open_links(open_: DataFrame, sets: DataFrame, texts: DataFrame, size: int,
     other = F.struct(F.col("other_class").alias("class"), F.col("other_rest").alias("rest"), F.col("other_block").alias("block"))
     placed = placed.select("cluster", "rep", "comp", "n", "sig", "own", F.least("own", other).alias("p"), F.greatest("own", other).alias("q"))
     named = [F.to_json(c).alias(c) for c in ("own", "p", "q")]
-    full = texts.join(rows.select("rep").distinct(), "rep", "left_semi").mapInPandas(_full_sets(size), "rep long, shingles binary")
+    full = texts.join(rows.select("rep").distinct(), "rep", "left_semi").select("rep", "z").mapInPandas(_full_sets(size), "rep long, shingles binary")
     return placed.select("cluster", "rep", "comp", "n", "sig", *named).join(full, "rep").groupBy("cluster", "p", "q").applyInPandas(_block_links(percent), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, size: int = 4, percent: int = 80, star_rounds: int = 2, block: int = 1024, shingles: int = 1 << 20) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``df`` (doc_id, text).
+def near_duplicates(df: DataFrame, size: int = 4, percent: int = 80, star_rounds: int = 2, block: int = 1024, shingles: int = 1 << 19) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, text_hash, stays`` for each row of ``df`` (doc_id, text).
 
-    Two documents are linked where their sets of distinct ``size``-word shingles have at least ``percent`` % in common; a text
-    of fewer words is one shingle; texts without words are linked with nothing. component_id is the smallest doc_id
-    reachable. Rows with a null doc_id are linked with nothing and kept is null. A pair at the threshold is missed with a
-    probability of 5e-8 (32 bands of 4 slots).
+    Two documents are linked where their sets of distinct ``size``-word shingles have at least ``percent`` % in common, compared
+    word by word; documents whose sets have one size and equal 128-bit sums of hashes count as copies. A text of fewer words is one shingle; texts
+    without words (null, empty, blank) are linked with nothing. component_id is the smallest doc_id reachable. Rows with a null doc_id are
+    linked with nothing and kept is null. Rows that repeat a doc_id are rows of their own, with the text they have: ``text_hash`` tells them
+    apart, and ``stays`` marks the one of each component with the smallest doc_id, then text_hash (rows equal in both are marked alike).
+    Long texts are read in slices. Other columns of ``df`` play no part. An empty table gives no rows. A pair at the threshold is missed with a
+    probability of 5e-8 (32 bands of 4 slots), and in the last step of 3e-10 (fewer than 72 of 128 equal slots).
     """
-    docs = df.select("doc_id", "text")
-    sketched = materialize(docs.mapInPandas(_sketch(size), "doc_id long, n long, f1 long, f2 long, sig binary, bands array<long>"), "sketches")
-    sets = materialize(sketched.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "sets")
+    spark = df.sparkSession
+    with batch_rows(spark, TEXT_ROWS):
+        return _near_duplicates(df.select("doc_id", "text", F.xxhash64("text").alias("th")), size, percent, star_rounds, block, shingles)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, star_rounds: int, block: int, shingles: int) -> DataFrame:
+    sketched = materialize(docs.mapInPandas(_sketch(size), "doc_id long, th long, n long, f1 long, f2 long, sig binary, bands array<long>, z binary"), "sketches")
+    least = F.min(F.struct("doc_id", "th"))
+    # rep numbers the sets: rows that repeat a doc_id may belong to several
+    sets = sketched.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(least.alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    sets = materialize(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
     in_band = sets.select("rep", F.posexplode("bands").alias("band", "key"))
     crowded = in_band.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1")
     members = materialize(in_band.join(crowded.drop("c"), ["band", "key"]), "band_members")
-    texts = materialize(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "band_texts")
+    wanted = sets.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "least.doc_id", "least.th")
+    texts = materialize(wanted.join(sketched.select("doc_id", "th", "z"), ["doc_id", "th"]).groupBy("rep").agg(F.min("z").alias("z")), "band_texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInPandas(_similar(size, percent), "u long, v long")
+        both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("z").alias("z_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("z").alias("z_b")), "b")
+        return both.select("a", "b", "z_a", "z_b").mapInPandas(_similar(size, percent), "u long, v long")
 
     def with_component(rows: DataFrame, links: DataFrame | None) -> DataFrame:
         if links is None:
@@ -244,18 +296,29 @@ def near_duplicates(df: DataFrame, size: int = 4, percent: int = 80, star_rounds
         met = met.groupBy("rep", F.col("hub.rep").alias("hub")).count()
         best = met.groupBy("rep").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
         pairs = best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        found = verified(pairs)
+        found, before = verified(pairs), links
         links = components(found if links is None else found.union(links))
+        if before is not None:
+            discard(before)
 
     now = with_component(members, links)
     mixed = now.groupBy("band", "key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").drop("c1", "c2")
-    found = materialize(_open_links(materialize(now.join(mixed, ["band", "key"]), "mixed"), sets, texts, size, percent, block, shingles), "open_links")
-    links = components(found if links is None else found.union(links))
-    groups = with_component(sets.select("rep", "f1", "f2", "n"), links).select("f1", "f2", "n", "comp")
-    out = sketched.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2", "n"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    mixed = materialize(now.join(mixed, ["band", "key"]), "mixed")
+    found = materialize(_open_links(mixed, sets, texts, size, percent, block, shingles), "open_links")
+    checked = verified(found.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    links, before = components(checked if links is None else checked.union(links)), links
+    discard(members, texts, mixed, found, *([] if before is None else [before]))
+    groups = with_component(sets.select("rep", "least", "f1", "f2", "n"), links)
+    names = groups.groupBy("comp").agg(F.min("least").alias("first"))
+    groups = groups.join(names, "comp").select("f1", "f2", "n", "first")
+    out = sketched.select("doc_id", "th", "n", "f1", "f2").join(groups, ["f1", "f2", "n"], "left")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linked, F.coalesce("first.doc_id", "doc_id")).otherwise(F.col("doc_id"))
+    stays = ~linked | ((F.col("first.doc_id") == F.col("doc_id")) & F.col("first.th").eqNullSafe(F.col("th")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("th").alias("text_hash"), F.coalesce(stays, F.lit(True)).alias("stays"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_hash", "stays")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by four-word shingles, 80 % in common."""
     return near_duplicates(table(spark, sf_dir, "documents"))
