@@ -23,12 +23,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8. Rows without a doc_id stay."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8. Rows without a doc_id and rows without words stay;
+    rows that repeat a doc_id are told apart by their text, and of rows equal in both one stays."""
     docs = docs.select(*COLUMNS)
-    gone = neardup.near_duplicates(docs, size=5).filter("not kept").select("doc_id")
-    # of rows that repeat a doc_id one stays
-    known = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(*COLUMNS).union(docs.filter("doc_id is null"))
+    found = materialize(neardup.near_duplicates(docs, size=5), "near")
+    key = ["doc_id", "text_hash"]
+    known = docs.withColumn("text_hash", F.xxhash64("text")).join(found.filter("not stays").select(*key), key, "left_anti")
+    equal = found.filter("stays and n_shingles > 0 and doc_id is not null").groupBy(*key).count().filter("count > 1").select(*key)
+    return known.join(equal, key, "left_anti").union(known.join(equal, key, "left_semi").dropDuplicates(key)).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
