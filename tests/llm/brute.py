@@ -70,6 +70,18 @@ def repeats(rows, length=400):
     return out
 
 
+def passages(rows, size=51):
+    """Words of each row in windows of ``size`` words that another document holds too."""
+    seen, out = defaultdict(set), []
+    split = [(k, t, words(t)) for k, t in rows]
+    for k, t, w in split:
+        for i in range(len(w) - size + 1):
+            seen[tuple(w[i : i + size])].add((k, t))
+    for k, _, w in split:
+        out.append((k, len({i + j for i in range(len(w) - size + 1) if len(seen[tuple(w[i : i + size])]) > 1 for j in range(size)})))
+    return out
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 

@@ -175,9 +175,24 @@ def test_suffix_array():
 @pytest.mark.parametrize("hot", [0, 40_000])
 def test_repeats(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT_ROWS", hot)
-    got = [tuple(r)[:5] for r in suffix.remove_repeats(docs.union(docs.filter("doc_id = 1007"))).collect()]
-    more = rows + [r for r in rows if r[0] == 1007]
-    assert same(got, brute.repeats([(k, (t or "").encode()) for k, t in more]))
+    inside = (2000, "so " * 700 + " ".join(f"shared{i}" for i in range(90)) + " so" * 60)
+    found = suffix.remove_repeats(docs.select("doc_id", "text").union(docs.filter("doc_id = 1007").select("doc_id", "text")).union(docs.sparkSession.createDataFrame([inside], "doc_id long, text string"))).collect()
+    more = rows + [r for r in rows if r[0] == 1007] + [inside]
+    assert same([tuple(r)[:5] for r in found], brute.repeats([(k, (t or "").encode()) for k, t in more]))
+    assert same([(r.doc_id, r.n_passage_words) for r in found], brute.passages(more))
+
+
+def test_anchors_of_slices(monkeypatch):
+    """Runs cover every window once, and windows with one context have one anchor, wherever a long text is cut."""
+    r = np.random.default_rng(12)
+    data = np.tile(r.integers(97, 123, 3000).astype(np.uint8), 3)
+    for size in (700, 1 << 22):
+        monkeypatch.setattr(suffix, "SLICE", size)
+        lo, hi, p, anchor, _ = suffix.anchors(data, 400)
+        assert sorted(w for a, b in zip(lo, hi, strict=True) for w in range(a, b + 1)) == list(range(len(data) - 399))
+        assert ((p >= hi) & (p + suffix.BYTES.anchor <= lo + 400)).all()
+        by_window = {w: (x, q - w) for a, b, q, x in zip(lo, hi, p, anchor, strict=True) for w in range(a, b + 1)}
+        assert all(by_window[w] == by_window[w + 3000] for w in range(0, 6000, 7) if w + 3400 <= len(data))
 
 
 def test_repeats_edits(spark):
@@ -195,6 +210,24 @@ def test_repeats_edits(spark):
     assert suffix.remove_repeats(df.filter("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 40_000])
+def test_passages_of_words(spark, monkeypatch, hot):
+    """Passages of words cut and joined at all places, also inside one document only."""
+    monkeypatch.setattr(suffix, "HOT_ROWS", hot)
+    monkeypatch.setattr(suffix, "HOT_KEYS", 100)
+    r = np.random.default_rng(10)
+    pool = [f"p{i}" for i in r.integers(0, 60, 900)]
+    fill = lambda: [f"f{i}" for i in r.integers(0, 10**9, int(r.integers(0, 40)))]
+    out = []
+    for i in range(80):
+        a, n = int(r.integers(0, 700)), int(r.integers(46, 120))
+        own = [f"o{i}x{j}" for j in range(60)]
+        out.append((i, " ".join(fill() + pool[a : a + n] + fill() + (own + fill() + own if i % 5 == 0 else []))))
+    out += [(i, out[0][1]) for i in range(100, 130)] + [(0, out[0][1])]
+    got = [(r.doc_id, r.n_passage_words) for r in suffix.remove_repeats(spark.createDataFrame(out, "doc_id long, text string")).collect()]
+    assert same(got, brute.passages(out)) and sum(n > 0 for _, n in got) > 40
+
+
 def test_pii(docs, rows):
     found = pii.detect(docs)
     text = {r.doc_id: (r.text, [f"{x.kind}:{x.start}:{x.end}" for x in r.pii]) for r in found.collect()}

@@ -1,24 +1,25 @@
-"""Removal of repeated byte strings with a suffix array built by the difference-cover algorithm.
+"""Removal of repeated byte strings, and finding of repeated passages of words, with a suffix array built by the difference-cover algorithm.
 
-A suffix array over all bytes of a corpus would hold almost only strings that occur once, so the array is built over what is left
-after two exact reductions:
+A suffix array over all symbols (bytes or words) of a corpus would hold almost only strings that occur once, so the array is built over
+what is left after two exact reductions:
 
-1. Every window of ``length`` bytes names one anchor, the 256-byte string in it with the least fingerprint. Windows that are equal
+1. Every window of ``length`` symbols names one anchor, the shorter string in it with the least fingerprint. Windows that are equal
    have equal anchors at equal places. Anchors that occur once are dropped; runs of windows whose whole context occurs
    twice are repeated, and only one copy of each context goes on.
 2. The windows that are left are cut into blocks of neighbours. All windows of a block hold its core; blocks whose core
    occurs once are dropped, and a core becomes a single symbol.
 
-The remaining strings (at most 35 bytes, a core symbol, 35 bytes) are dealt out by core. In each deal the difference-cover algorithm
+The remaining strings (some symbols, a core symbol, some symbols) are dealt out by core. In each deal the difference-cover algorithm
 sorts sampled triples, recurses on their names, merges the remaining suffixes, and adjacent prefixes are compared.
-Cores with too many contexts for one task are decided by grouping their windows, bytes and all, in SQL.
-Fingerprints that decide equality have 128 bits.
+Cores with too many contexts for one task are decided by grouping their windows, symbols and all, in SQL.
+Anchors and contexts are told apart by fingerprints of 64 bits each with bases of their own, cores by 128 bits of BLAKE2.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,12 +27,32 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, U64, materialize, mix, signed, table
+from .common import Rolling, U64, batch_rows, discard, materialize, mix, signed, table, tidy, word_hashes, word_ranges
 
-ANCHOR, BLOCK = 256, 36
+
+class Unit(NamedTuple):
+    """What windows are made of: the anchor's and the block's length, the bytes of a symbol, the fewest text bytes of n symbols."""
+
+    name: str
+    anchor: int
+    block: int
+    width: int
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        data = np.frombuffer(text, np.uint8)
+        return data if self.name == "bytes" else word_hashes(data, *word_ranges(data))
+
+    def least_bytes(self, n: int) -> int:
+        return n if self.name == "bytes" else 2 * n - 1
+
+
+BYTES, WORDS = Unit("bytes", 256, 36, 1), Unit("words", 26, 8, 8)
 BUNDLE_ROWS, HOT_ROWS = 20_000, 40_000
+SLICE = 1 << 22  # windows of a text looked at together
+HOT_KEYS = 2_048
 NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 _PLACE = U64((1 << 28) - 1)
+_CONTEXT_BASE = 0xD1342543DE82EF95
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -71,12 +92,20 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, length: int, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: first and last start, anchor place, fingerprints of anchor and context."""
-    width = length - ANCHOR + 1
+    found = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, U64)] * 2]
+    for first in range(0, len(data) - length + 1, SLICE):
+        lo, hi, p, anchor, ctx = _anchors(data[first : first + SLICE + length - 1], length, unit.anchor)
+        found.append([lo + first, hi + first, p + first, anchor, ctx])
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(data: np.ndarray, length: int, size: int) -> tuple[np.ndarray, ...]:
+    width = length - size + 1
     roll = Rolling(data)
-    at = np.arange(len(data) - ANCHOR + 1)
-    h = roll.of(at, at + ANCHOR)
+    at = np.arange(len(data) - size + 1)
+    h = roll.of(at, at + size)
     least = (h & ~_PLACE) | at.astype(U64)
     step = 1
     while step * 2 <= width:
@@ -88,16 +117,16 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     edge = np.flatnonzero(place[1:] != place[:-1]) + 1
     lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(place)]]) - 1
     p = place[lo]
-    return lo, hi, p, h[p], roll.of(lo, hi + length) ^ mix((p - lo).astype(U64))
+    return lo, hi, p, h[p], Rolling(data, _CONTEXT_BASE).of(lo, hi + length) ^ mix((p - lo).astype(U64))
 
 
-def _runs(length: int):
+def _runs(length: int, unit: Unit):
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out: list[tuple] = []
             for k, th, text in zip(f["doc_id"], f["th"], f["text"], strict=True):
-                data = np.frombuffer(text.encode(), np.uint8)
-                lo, hi, p, anchor, ctx = anchors(data, length)
+                lo, hi, p, anchor, ctx = anchors(unit.symbols(text.encode()), length, unit)
                 out.append((np.full(len(lo), k), np.full(len(lo), th), lo, hi, p, signed(anchor), signed(ctx)))
             if out:
                 yield pd.DataFrame(dict(zip(("doc_id", "th", "lo", "hi", "p", "anchor", "ctx"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -105,67 +134,75 @@ def _runs(length: int):
     return run
 
 
-def _blocks(length: int):
-    """Blocks of undecided runs with the bytes left and right of their core."""
+def _blocks(length: int, unit: Unit):
+    """Blocks of undecided runs with the symbols left and right of their core."""
+    size, w = unit.block, unit.width
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for f in frames:
-            out = []
             for k, th, z, runs in zip(f["doc_id"], f["th"], f["z"], f["runs"], strict=True):
-                text = unpack.decompress(z)
-                roll = Rolling(np.frombuffer(text, np.uint8))
+                text, out = unpack.decompress(z), []
+                if unit is not BYTES:
+                    text = unit.symbols(text).tobytes()
                 for r in runs:
                     lo, hi, p = r["lo"], r["hi"], r["p"]
-                    for b in range((p - hi) // BLOCK, (p - lo) // BLOCK + 1):
-                        first, last = max(lo, p - (b + 1) * BLOCK + 1), min(hi, p - b * BLOCK)
-                        core, end = p - b * BLOCK, p - (b + 1) * BLOCK + 1 + length
-                        out.append((k, th, first, last, core, end, r["c"], text[first:core], text[end : last + length]))
+                    for b in range((p - hi) // size, (p - lo) // size + 1):
+                        first, last = max(lo, p - (b + 1) * size + 1), min(hi, p - b * size)
+                        core, end = p - b * size, p - (b + 1) * size + 1 + length
+                        name = hashlib.blake2b(text[core * w : end * w], digest_size=16).digest()
+                        out.append((first, last, core, int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), r["c"], text[first * w : core * w], text[end * w : (last + length) * w]))
                 if out:
                     cols = list(zip(*out, strict=True))
-                    c, e = np.array(cols[4]), np.array(cols[5])
-                    h = roll.of(c, e)
-                    yield pd.DataFrame({"doc_id": cols[0], "th": cols[1], "lo": cols[2], "hi": cols[3], "at": c, "core": signed(h), "core2": signed(mix(roll.of(c, c + ANCHOR)) ^ roll.of(e - ANCHOR, e)), "c": cols[6], "left": cols[7], "right": cols[8]})
-                    out = []
+                    yield pd.DataFrame({"doc_id": k, "th": th, "lo": cols[0], "hi": cols[1], "at": cols[2], "core": cols[3], "core2": cols[4], "c": cols[5], "left": cols[6], "right": cols[7]})
 
     return run
 
 
-def decide(f: pd.DataFrame) -> pd.DataFrame:
+def decide(f: pd.DataFrame, unit: Unit = BYTES, across: bool = False) -> pd.DataFrame:
     """Repeated windows of blocks (core, core2, left, right, lo, hi, at, c): suffix array over the collapsed blocks, then adjacent
-    prefixes of ``BLOCK`` symbols compared; a window also counts as repeated where its block occurs more than once (c)."""
+    prefixes of a block's length compared; a window also counts as repeated where its block occurs more than once (c). With
+    ``across`` only windows that also start in another document count."""
     f = f.reset_index(drop=True)
     cores = f.groupby(["core", "core2"], sort=False).ngroup().to_numpy()
-    n, first_core = len(f), 300
-    pieces, starts, place = [], [], 0
-    for i, (left, right) in enumerate(zip(f["left"], f["right"], strict=True)):
-        a = np.frombuffer(left, np.uint8).astype(np.int64) + 1
-        b = np.frombuffer(right, np.uint8).astype(np.int64) + 1
-        pieces += [a, [first_core + cores[i]], b, [first_core + n + i]]
-        starts.append(place)
-        place += len(a) + len(b) + 2
-    s = np.concatenate(pieces).astype(np.int64)
+    n, w, kind = len(f), unit.width, "u1" if unit.width == 1 else "<u8"
+    left, right = f["left"].tolist(), f["right"].tolist()
+    size_a, size_b = (np.array([len(x) for x in side], np.int64) // w for side in (left, right))
+    ends = np.cumsum(size_a + size_b + 2)
+    starts = ends - (size_a + size_b + 2)
+    names, symbols = np.unique(np.frombuffer(b"".join(x for two in zip(left, right, strict=True) for x in two), kind), return_inverse=True)
+    s = np.zeros(int(ends[-1]), np.int64)
+    s[starts + size_a], s[ends - 1] = len(names) + 1 + cores, len(names) + 1 + n + np.arange(n)
+    s[s == 0] = symbols + 1
     s = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
     count = (f["hi"] - f["lo"] + 1).to_numpy()
     row = np.repeat(np.arange(n), count)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(np.array(starts), count) + offset
+    at = np.repeat(starts, count) + offset
     owner = np.full(len(s), -1)
     owner[at] = np.arange(len(row))
     sa = suffix_array(s)
     sa = sa[owner[sa] >= 0]
     same = np.zeros(len(sa), bool)
-    t = np.concatenate([s, np.zeros(BLOCK, np.int64)])
+    t = np.concatenate([s, np.zeros(unit.block, np.int64)])
     for i in range(0, len(sa) - 1, 1 << 16):
         a, b = sa[i : i + (1 << 16)], sa[i + 1 : i + 1 + (1 << 16)]
         a = a[: len(b)]
         equal = np.ones(len(b), bool)
-        for k in range(BLOCK):
+        for k in range(unit.block):
             equal[equal] = t[a[equal] + k] == t[b[equal] + k]
         same[i + 1 : i + 1 + len(b)] = equal
-    repeated = same | np.concatenate([same[1:], [False]])
+    twice = f["c"].to_numpy() > 1
+    if across:
+        doc = f.groupby(["doc_id", "th"], sort=False).ngroup().to_numpy()[row[owner[sa]]]
+        first = np.flatnonzero(~same)
+        many = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | np.logical_or.reduceat(twice[row[owner[sa]]], first)
+        repeated = many[np.cumsum(~same) - 1]
+    else:
+        repeated = same | np.concatenate([same[1:], [False]])
     got = owner[sa[repeated]]
-    got = got[(f["c"].to_numpy() == 1)[row[got]]]
+    got = got[~twice[row[got]]]
     r = row[got]
     at = f["lo"].to_numpy()[r] + offset[got]
     return pd.DataFrame({"doc_id": f["doc_id"].to_numpy()[r], "th": f["th"].to_numpy()[r], "lo": at, "hi": at})
@@ -183,33 +220,52 @@ def _squeeze(f: pd.DataFrame) -> pd.DataFrame:
 SPANS = "doc_id long, th long, lo int, hi int"
 
 
-def repeated_windows(df: DataFrame, length: int) -> DataFrame:
-    """``doc_id, th, lo, hi``: starts of windows of ``length`` bytes that also start elsewhere in the texts of ``df`` (doc_id, th, text)."""
-    if length <= ANCHOR + BLOCK:
-        raise ValueError(f"length must exceed {ANCHOR + BLOCK}")
-    long_ = df.filter(F.octet_length("text") >= length)
-    runs = materialize(long_.mapInPandas(_runs(length), "doc_id long, th long, lo int, hi int, p int, anchor long, ctx long"), "runs")
-    often = runs.groupBy("anchor").count().filter("count > 1").select("anchor")
-    shared = materialize(runs.join(often, "anchor", "left_semi"), "shared_runs")
-    contexts = materialize(shared.groupBy("anchor", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "lo", "hi", "p")).alias("one")), "contexts")
-    whole = shared.join(contexts.filter("c > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("doc_id", "th", "lo", "hi")
+def _semi(rows: DataFrame, keys: DataFrame, on: list[str], hot: int) -> DataFrame:
+    """Rows whose key is among ``keys`` (with ``n``, its rows). Keys of over ``hot`` rows, of which there are few, are broadcast, so that
+    their rows are not dealt to one task."""
+    often = F.broadcast(keys.filter(F.col("n") > hot).select(*on))
+    rest = rows.join(often, on, "left_anti").join(keys.filter(F.col("n") <= hot).select(*on), on, "left_semi")
+    return rows.join(often, on, "left_semi").union(rest)
+
+
+def repeated_windows(df: DataFrame, length: int, unit: Unit = BYTES, across: bool = False) -> DataFrame:
+    """``doc_id, th, lo, hi``: starts of windows of ``length`` symbols that also start elsewhere in the texts of ``df`` (doc_id, th, text);
+    with ``across`` only those that also start in a row with another doc_id or th."""
+    if length <= unit.anchor + unit.block:
+        raise ValueError(f"length must exceed {unit.anchor + unit.block}")
+    long_ = df.filter(F.octet_length("text") >= unit.least_bytes(length))
+    runs = materialize(long_.mapInPandas(_runs(length, unit), "doc_id long, th long, lo int, hi int, p int, anchor long, ctx long"), "runs")
+    hot = max(1, runs.count() // HOT_KEYS)  # so many rows make a key hot: there are 2,048 such keys at most
+    key = F.struct("doc_id", "th")
+    copies = F.when(F.min(key) != F.max(key), 2).otherwise(1) if across else F.least(F.count("*"), F.lit(2))
+    often = runs.groupBy("anchor").agg(F.count("*").alias("n"), copies.alias("c")).filter("c > 1").drop("c")
+    shared = materialize(_semi(runs, often, ["anchor"], hot), "shared_runs")
+    contexts = materialize(shared.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), copies.cast("int").alias("c"), F.min(F.struct("doc_id", "th", "lo", "hi", "p")).alias("one")), "contexts")
+    whole = materialize(_semi(shared, contexts.filter("c > 1").select("anchor", "ctx", "n"), ["anchor", "ctx"], hot).select("doc_id", "th", "lo", "hi"), "whole")
     # contexts that occur once, and those that share their anchor
-    open_ = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("c").alias("least")).filter("n > 1 and least = 1").select("anchor")
-    wanted = contexts.join(open_, "anchor", "left_semi").select("one.doc_id", "one.th", F.struct("one.lo", "one.hi", "one.p", F.least("c", F.lit(2)).alias("c")).alias("run"))
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
-    parts = packed(long_).join(wanted, ["doc_id", "th"]).select("doc_id", "th", "z", "runs").mapInPandas(_blocks(length), SPANS + ", at int, core long, core2 long, c long, left binary, right binary")
+    open_ = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("c").alias("least")).filter("n > 1 and least = 1").drop("least")
+    open_ = _semi(contexts, open_, ["anchor"], hot)
+    wanted = open_.filter("n = 1 or c > 1").select("one.*", "c")
+    if across:  # contexts that repeat inside one document only: each of them may also start elsewhere
+        inside = open_.filter("n > 1 and c = 1").select("anchor", "ctx", "n")
+        wanted = wanted.union(_semi(shared, inside, ["anchor", "ctx"], hot).select("doc_id", "th", "lo", "hi", "p", F.lit(1)))
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "p", "c")).alias("runs"))
+    parts = packed(long_).join(wanted, ["doc_id", "th"]).select("doc_id", "th", "z", "runs").mapInPandas(_blocks(length, unit), SPANS + ", at int, core long, core2 long, c long, left binary, right binary")
     parts = materialize(parts, "blocks")
-    cores = parts.groupBy("core", "core2").agg(F.count("*").alias("rows"), F.min("c").alias("least")).filter("rows > 1 and least = 1").drop("least")
+    discard(runs, shared, contexts)
+    cores = parts.groupBy("core", "core2").agg(F.count("*").alias("n"), F.min("c").alias("least")).filter("n > 1 and least = 1").drop("least")
     near = materialize(parts.join(cores, ["core", "core2"]), "open_blocks")
     bundles = max(1, near.count() // BUNDLE_ROWS)
-    small = near.filter(F.col("rows") <= HOT_ROWS).withColumn("bundle", F.pmod("core", F.lit(bundles)))
-    decided = small.groupBy("bundle").applyInPandas(lambda f: _squeeze(decide(f)), SPANS)
-    hot = near.filter(F.col("rows") > HOT_ROWS).withColumn("w", F.explode(F.sequence("lo", "hi")))
+    small = near.filter(F.col("n") <= HOT_ROWS).withColumn("bundle", F.pmod("core", F.lit(bundles)))
+    decided = small.groupBy("bundle").applyInPandas(lambda f: _squeeze(decide(f, unit, across)), SPANS)
+    hot = near.filter(F.col("n") > HOT_ROWS).withColumn("w", F.explode(F.sequence("lo", "hi")))
     before = F.col("at") - F.col("w")
-    key = F.concat(F.expr("substring(left, w - lo + 1)"), F.expr(f"substring(right, 1, {BLOCK - 1} - (at - w))"))
+    key = F.concat(F.expr(f"substring(left, (w - lo) * {unit.width} + 1)"), F.expr(f"substring(right, 1, ({unit.block - 1} - (at - w)) * {unit.width})"))
     hot = hot.select("doc_id", "th", "c", "w", "core", "core2", before.alias("before"), key.alias("key"))
     names = ["core", "core2", "before", "key"]
-    counted = hot.groupBy(*names).agg(F.sum("c").alias("copies")).filter("copies > 1").drop("copies")
+    owner = F.struct("doc_id", "th")
+    total = F.when(F.min(owner) != F.max(owner), 2).otherwise(F.max("c")) if across else F.sum("c")
+    counted = hot.groupBy(*names).agg(total.alias("copies")).filter("copies > 1").drop("copies")
     hot = hot.filter("c = 1").join(counted, names, "left_semi").select("doc_id", "th", F.col("w").alias("lo"), F.col("w").alias("hi"))
     return whole.union(decided).union(hot)
 
@@ -217,6 +273,7 @@ def repeated_windows(df: DataFrame, length: int) -> DataFrame:
 def packed(df: DataFrame) -> DataFrame:
     """``doc_id, th, z``: texts compressed for the shuffle."""
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3)
         for f in frames:
@@ -225,38 +282,55 @@ def packed(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "doc_id long, th long, z binary")
 
 
-def remove_repeats(df: DataFrame, length: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes) for each row of ``df`` (doc_id, text).
+def _covered(size: int, spans, length: int) -> np.ndarray:
+    """Which of ``size`` symbols lie in a window of one of the spans."""
+    edge = np.zeros(size + 1, np.int64)
+    for s in spans if spans is not None else ():
+        edge[s["lo"]] += 1
+        edge[s["hi"] + length] -= 1
+    return np.cumsum(edge)[:-1] > 0
+
+
+def remove_repeats(df: DataFrame, length: int = 400, passage: int = 51) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, kept`` (the remaining bytes) for each row of ``df`` (doc_id, text).
 
-    A byte goes where a ``length``-byte string that covers it also starts anywhere else. Texts are judged as UTF-8 bytes, null as empty;
-    rows that repeat a doc_id and text count as documents of their own and lose the same bytes; a null doc_id is a
-    doc_id like others. ``kept`` may end in the midst of a code point, so it is binary.
+    A byte goes where a ``length``-byte string that covers it also starts anywhere else. n_passage_words counts the words that lie in a
+    string of ``passage`` words (between ASCII white space) that another document holds too; nothing is removed for that. Texts are judged as
+    UTF-8 bytes, null as empty; texts shorter than a window lose nothing; long texts are read in slices. Rows that repeat a doc_id and text
+    count as documents of their own for bytes (they lose the same bytes) and as one for passages; a null doc_id is a doc_id like others. Other
+    columns of ``df`` play no part. An empty table gives no rows. ``kept`` may end in the midst of a code point, so it is binary.
     """
-    docs = df.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text", "doc_id").alias("th"), "text")
-    spans = repeated_windows(docs.select(F.col("key").alias("doc_id"), "th", "text"), length)
-    spans = materialize(spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
-    texts = packed(docs.select(F.col("key").alias("doc_id"), "th", "text"))
+    with batch_rows(df.sparkSession, 1_000):
+        return _remove_repeats(df, length, passage)
+
 
+def _remove_repeats(df: DataFrame, length: int, passage: int) -> DataFrame:
+    docs = df.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text", "doc_id").alias("th"), "text")
+    spans = {}
+    for name, unit, size in (("spans", BYTES, length), ("passages", WORDS, passage)):
+        windows = repeated_windows(docs, size, unit, unit is WORDS)
+        spans[name] = materialize(windows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias(name)), name)
+    found = spans["spans"].join(spans["passages"], ["doc_id", "th"], "full")
+
+    @tidy
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for f in frames:
             out = []
-            for k, z, spans in zip(f["doc_id"], f["z"], f["spans"], strict=True):
+            for k, z, spans, passages in zip(f["doc_id"], f["z"], f["spans"], f["passages"], strict=True):
                 text = unpack.decompress(z) if z[:4] == b"\x28\xb5\x2f\xfd" else b""
-                edge = np.zeros(len(text) + 1, np.int64)
-                for s in spans if spans is not None else ():
-                    edge[s["lo"]] += 1
-                    edge[s["hi"] + length] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
+                gone = _covered(len(text), spans, length)
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                out.append((k, len(text), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                shared = int(_covered(len(text.split()), passages, passage).sum()) if passages is not None else 0
+                out.append((k, len(text), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest(), shared, kept))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"])
 
-    got = texts.join(spans, ["doc_id", "th"], "left").select("doc_id", "z", "spans").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    got = packed(docs).join(found, ["doc_id", "th"], "left").select("doc_id", "z", "spans", "passages").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary")
     return got.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 400 bytes, and its words in passages of over 50 words that another document holds."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
