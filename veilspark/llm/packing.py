@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 from .mixing import words
 
 CAPACITY, SHARD_ROWS, PER_SOURCE = 2_048, 4_096, 2
@@ -101,6 +101,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE,
                 text = text[spans[k][0] if k else 0 : spans[k + n][0] if k + n < len(spans) else len(text)]
             out.append((f"{shard:06d}-{b:06d}", place[b], None if pd.isna(ids[i]) else int(ids[i]), k, n, sources[i], text))
             place[b] += 1
+        release()
         return pd.DataFrame(out, columns=["sequence_id", "position", "doc_id", "first_word", "n_words", "source", "text"]).astype({"doc_id": "Int64"})
 
     return rows.groupBy("shard").applyInPandas(run, PACKED)

@@ -1,6 +1,7 @@
 """Personal data in text, in DataFrame functions only.
 
-Patterns propose spans, checksum and range validators confirm them, and context words near a span adjust its score.
+Patterns propose spans, checksum and range validators confirm them, and context words near a span (before or after it) adjust
+its score. Weak kinds (social security numbers, bare account numbers) start below the threshold, so only context admits them.
 Offsets are code points, end exclusive. Every pattern is written so that the JVM matches it in linear time: runs are
 possessive and start only where a run can start.
 """
@@ -26,7 +27,8 @@ BASE = {
 }
 ADDED = {
     "iban": (None, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", 0.8, ("iban", "bank", "account")),
-    "ssn": (None, r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, ("ssn", "social", "security")),
+    "ssn": (None, r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.3, ("ssn", "social", "security")),
+    "account": (None, r"(?<![0-9A-Za-z.+-])[0-9]{8,12}(?![0-9A-Za-z-]|\.[0-9])", 0.1, ("account", "acct", "iban", "routing", "passport")),
 }
 KINDS = {**BASE, **ADDED}
 BOOST, LEAST_SCORE = 0.35, 0.4
@@ -71,6 +73,7 @@ def _confirm(kind: str, m: Column) -> Column:
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
+RUN = 256  # a fold gathers runs of so many spans, so that a long text costs no copy of all its spans for each
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -78,35 +81,46 @@ def _spans(text: Column, kind: str) -> Column:
     lengths of the parts add up to code-point offsets."""
     guard, pattern, score, words = KINDS[kind]
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN, -1)
-    start = F.struct(F.lit(-1).alias("pos"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(-1).alias("pos"), F.lit("").alias("tail"), F.array().cast(f"array<{_SPAN}>").alias("full"), F.array().cast(_SPAN).alias("out"))
     near = rf"(?i)(?<![a-z])(?:{'|'.join(words)})"
 
     def step(acc: Column, part: Column) -> Column:
         m, pos = F.substring_index(part, CLOSE, 1), acc["pos"]
-        value = F.when(acc["tail"].rlike(near), F.lit(min(1.0, score + BOOST))).otherwise(F.lit(score))
+        after = F.substring(part, F.length(m) + 2, F.lit(CONTEXT_CHARS))
+        value = F.when(acc["tail"].rlike(near) | after.rlike(near), F.lit(min(1.0, score + BOOST))).otherwise(F.lit(score))
         found = F.array(F.struct(F.lit(kind).alias("kind"), pos.alias("start"), (pos + F.length(m)).cast("int").alias("end"), value.alias("score"))).cast(_SPAN)
-        first = pos < 0
+        first, whole = pos < 0, F.size(acc["out"]) >= RUN
+        # what a validator refuses is no span; an added kind also needs the score
+        good = ~first & _confirm(kind, m) & (value >= LEAST_SCORE if kind in ADDED else F.lit(True))
         return F.struct(
             F.when(first, F.length(part)).otherwise(pos + F.length(part) - 1).cast("int").alias("pos"),
             F.right(part, F.lit(CONTEXT_CHARS)).alias("tail"),
-            F.when(~first & _confirm(kind, m), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"),
+            F.when(whole, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"]).alias("full"),
+            F.when(good, F.concat(F.when(whole, F.array().cast(_SPAN)).otherwise(acc["out"]), found)).when(whole, F.array().cast(_SPAN)).otherwise(acc["out"]).alias("out"),
         )
 
-    got = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    held = text.contains(guard) if guard and guard != "." else text.rlike(r"[0-9]\.[0-9]" if guard else "[0-9]{3}" if kind == "ssn" else "[A-Z]{2}[0-9]{2}" if kind == "iban" else "[0-9][ -]?[0-9][ -]?[0-9]")
-    return F.when(held, got).otherwise(F.array().cast(_SPAN))
+    got = F.aggregate(parts, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["out"]))))
+    return F.when(text.contains(guard) if guard and guard != "." else text.rlike(_HOLDS[kind]), got).otherwise(F.array().cast(_SPAN))
+
+
+# what a text holds that has a span of the kind; the weak kinds need a context word too
+_HOLDS = {
+    "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]{3}-[0-9]{2}-",
+    "account": rf"(?i)(?<![a-z])(?:{'|'.join(ADDED['account'][3])})",
+}
 
 
 def detect(df: DataFrame, text: str = "text", out: str = "pii", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """``df`` with ``out``: array of (kind, start, end, score), by kind as listed and then start.
 
     Null and empty texts give an empty array. Spans of one kind never overlap; spans of different kinds may. Base kinds
-    stay whatever their score; added kinds need a score of 0.4 or more. A text that holds the private-use characters
-    used as brackets is searched with a stand-in of the same length.
+    stay whatever their score; added kinds need a score of 0.4 or more, which ``ssn`` and ``account`` reach only with a context word within 48
+    characters on either side (and no other match of the kind between). A text that holds the private-use characters
+    used as brackets is searched with a stand-in of the same length. Repeated rows have equal spans; a column named like ``out`` is
+    replaced, other columns stay; an empty table gives no rows. Texts of any length are searched whole, in one row.
     """
     plain = F.translate(F.coalesce(F.col(text), F.lit("")), OPEN + CLOSE, STAND_IN * 2)
-    found = [F.filter(_spans(plain, k), lambda x: x["score"] >= LEAST_SCORE) if k in ADDED else _spans(plain, k) for k in kinds]
-    return df.withColumn(out, F.concat(*found))
+    return df.withColumn(out, F.concat(*[_spans(plain, k) for k in kinds]))
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
@@ -141,6 +155,6 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(F.filter("pii", lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"),
         _joined(F.col("pii")).alias("spans"),
-        count("iban").alias("n_iban"),
-        count("ssn").alias("n_ssn"),
+        *[count(k).alias(f"n_{k}") for k in ADDED],
+        F.round(F.array_max(F.transform("pii", lambda x: x["score"])), 6).alias("max_score"),
     )

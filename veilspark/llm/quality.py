@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, U64, mix, pieces, table, with_fields, word_ranges
+from .common import Rolling, U64, mix, pieces, table, tidy, with_fields, word_ranges
 
 MAX_TRAIN = 20_000
 SYMBOLS = np.zeros(256, bool)
@@ -161,9 +161,10 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 60, depth:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, keep_recall: float = 0.998) -> Trees | None:
     """Fit on the ``max_train`` labelled documents with the smallest hash of doc_id; None without two classes. The threshold is the
     score that ``keep_recall`` of the good documents of every fifth (held-out) row reach, at most 0.5."""
-    picked = labels.filter("quality is not null").select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(10), "doc_id")).limit(max_train)
+    picked = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64(F.lit(10), "doc_id")).limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
+    @tidy
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in (p for frame in frames for p in pieces(frame, "text")):
             out = statistics([(t or "").encode() for t in f["text"]])[list(FEATURES)]
@@ -189,6 +190,7 @@ def judge(df: DataFrame, model: Trees | None) -> DataFrame:
     df = df.drop(*new)
     schema = with_fields(df, ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, score double, kept boolean")
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in (p for frame in frames for p in pieces(frame, "text")):
             s = statistics([t.encode() if isinstance(t, str) else b"" for t in f["text"]])
