@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE, STAND_IN = "", "", ""
 FOUND = "array<struct<start:int,end:int,text:string>>"
+RUN = 256  # matches are gathered in runs, so that a text of many matches costs no copy of all of them for each
 
 
 def guard(text: Column) -> Column:
@@ -18,17 +19,18 @@ def find(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a Java pattern, in one projection: matches are bracketed, the text is split at the
     opening bracket, and the lengths of the parts add up to offsets. Null texts give null."""
     parts = F.split(F.regexp_replace(guard(text), F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN, -1)
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast(FOUND).alias("out"))
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast(f"array<{FOUND}>").alias("full"), F.array().cast(FOUND).alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
-        m, first = F.substring_index(part, CLOSE, 1), acc["at"] < 0
+        m, first, whole = F.substring_index(part, CLOSE, 1), acc["at"] < 0, F.size(acc["out"]) >= RUN
         one = F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(m)).cast("int").alias("end"), m.alias("text"))).cast(FOUND)
         return F.struct(
             F.when(first, F.length(part)).otherwise(acc["at"] + F.length(part) - 1).cast("int").alias("at"),
-            F.when(first, acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"),
+            F.when(whole, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"]).alias("full"),
+            F.when(first, acc["out"]).when(whole, one).otherwise(F.concat(acc["out"], one)).alias("out"),
         )
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.aggregate(parts, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["out"]))))
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

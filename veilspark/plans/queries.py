@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checksums, spans
+from ..functions import checksums, spans, tokens as tk
 from ..operators import algebra, anonymize as an
-from ..operators.analyze import analyze, contains_pii, explode
-from ..sources.text import spread
-from .catalog import Recognizer, deny_list
+from ..operators.analyze import analyze, analyze_record, analyze_texts, contains_pii, explode
+from ..sources.text import lines
+from ..streaming.counts import windowed_counts
+from . import literals
+from .catalog import CATALOG, Recognizer, deny_list
+from .registry import Registry
 
 # patterns that Java and RE2 match alike
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
-CARD = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}"
+CARD = r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"
+HREF = r'href="[^"]*"'
 RULES = [Recognizer("EMAIL_ADDRESS", ((EMAIL, 1.0),)), Recognizer("IP_ADDRESS", ((IP, 0.6),))]
 
 
@@ -25,8 +29,9 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    """Only the columns that a query names go through the shuffle of ``spread``."""
-    return spread(_read(spark, d, name).select(*columns))
+    """Only the columns that a query names. ``spark.veilspark.spread`` deals them over so many partitions first, for a bench whose tables are one row group each."""
+    rows, parts = _read(spark, d, name).select(*columns), spark.conf.get("spark.veilspark.spread", None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def _found(spark: SparkSession, d: str, rules: list[Recognizer] | None = None, **options) -> DataFrame:
@@ -101,7 +106,7 @@ def conversation_redaction(s, d):
 
 
 def url_findings_pages(s, d):
-    rows = _texts(s, d, "pages", "page_id", "html").select("page_id", F.explode(spans.find(F.col("html"), r"https?://[A-Za-z0-9./_-]+")).alias("m"))
+    rows = _texts(s, d, "pages", "page_id", "html").select("page_id", F.explode(spans.find(F.col("html"), HREF)).alias("m"))
     return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("m.text")).alias("chars"))
 
 
@@ -132,6 +137,107 @@ def all_recognizers(s, d):
     return explode(analyze(_texts(s, d, "documents", "text"))).groupBy("entity_type").agg(F.count("*").alias("n"), F.sum(F.col("score_enhanced").cast("int")).alias("raised"))
 
 
+def validator_verdicts(s, d):
+    """Verdict of every validator on specimens."""
+    verdict = F.lit(None).cast("boolean")
+    for k, (f, *_) in literals.VALIDATORS.items():
+        verdict = F.when(F.col("entity") == k, f(F.col("input"))).otherwise(verdict)
+    rows = s.createDataFrame([r[:2] for r in literals.verdicts()], "entity string, input string").coalesce(1)
+    return rows.select("entity", "input", F.when(verdict, "valid").when(~verdict, "invalid").otherwise("unknown").alias("verdict"))
+
+
+def recognizer_findings(s, d):
+    """What the recognizer of each entity of the catalogue finds in a text of its own."""
+    out = None
+    for lang in sorted({x[1] for x in literals.FINDINGS}):
+        cases = [(e, t.replace("[", "", 1).replace("]", "", 1)) for e, x, t in literals.FINDINGS if x == lang]
+        chosen = [r for r in CATALOG if r.entity in {e for e, _ in cases} and (not r.languages or lang in r.languages)]
+        found = explode(analyze(s.createDataFrame(cases, "entity string, text string").coalesce(1), recognizers=chosen)).filter("entity_type = entity")
+        found = found.select("entity", F.lit(lang).alias("lang"), "start", "span")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def anonymize_rewrites(s, d):
+    """Texts rewritten under every operator and conflict rule."""
+    out = None
+    for name, text, found, ops, spaces, conflicts, _ in literals.REWRITES:
+        rows = s.createDataFrame([(name, text, found)], "name string, text string, findings array<struct<entity_type:string,start:int,end:int,score:double>>").coalesce(1)
+        made = {k: an.OPERATORS[o](**p) for k, (o, p) in ops.items()}
+        done = an.anonymize(rows, operators=made, merge_spaces=spaces, conflicts=conflicts, items=None, strict=True).select("name", "anonymized")
+        out = done if out is None else out.union(done)
+    return out
+
+
+def registry_counts(s, d):
+    """Predefined recognizers by language."""
+    rows = [(x, len(Registry.predefined((x,)).recognizers(x, all_fields=True))) for x in ("en", "it", "es", "de", "fr", "ja", "pt", "ru", "uk", "zh")]
+    return s.createDataFrame(rows, "lang string, n int")
+
+
+def text_list(s, d):
+    """Findings of a list of primitive values."""
+    found = explode(analyze_texts(s, ["mail a@b.org", None, "", 12, True, "10.0.0.1 and 10.0.0.2"], recognizers=RULES))
+    return found.select("position", "entity_type", "start", "span")
+
+
+def record_findings(s, d):
+    """Findings in nested records: a phone key raises the score of a number, a skipped path has none."""
+    rows = s.sql("SELECT 1 AS id, named_struct('mail', 'a@b.org', 'inner', named_struct('ssn', '219-09-9999', 'plain', 'none', 'off', false)) AS r, array('x', 'c@d.org') AS l, map('k', 'e@f.org') AS m, 'g@h.org' AS gone")
+    rules = [*RULES, *[r for r in CATALOG if r.entity == "US_SSN"]]
+    found = explode(analyze_record(rows, key=["id"], skip=["gone"], recognizers=rules), text="value")
+    return found.select("id", "path", "entity_type", "span", F.round("score", 2).alias("score"), "score_enhanced")
+
+
+def context_words(s, d):
+    """A context word among the five before a match, or among the caller's words, raises its score; further away it does not."""
+    texts = ["my ssn is 219-09-9999", "ssn a b c d e f 219-09-9999", "no 219-09-9999"]
+    rows = s.createDataFrame([(x,) for x in texts], "text string").coalesce(1)
+    rule = [r for r in CATALOG if r.entity == "US_SSN"]
+    both = analyze(rows, recognizers=rule).select("text", F.lit(False).alias("given"), "findings").union(analyze(rows, recognizers=rule, context=["SSN"]).select("text", F.lit(True), "findings"))
+    return explode(both).select("text", "given", F.round("score", 2).alias("score"), "supportive_context_word")
+
+
+def document_lines(s, d):
+    """Lines of every document, the last one too where it is empty."""
+    return lines(_texts(s, d, "documents", "doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("line").cast("long").alias("last"), F.sum(F.length("text")).alias("chars"))
+
+
+def span_predicates(s, d):
+    """Overlap, containment and conflict of the spans of successive events."""
+    e = _read(s, d, "events").select("event_id", F.pmod("event_id", F.lit(97)).cast("int").alias("start"), (F.pmod("event_id", F.lit(97)) + 1 + F.pmod(F.col("event_id") * 7, F.lit(13))).cast("int").alias("end"), (F.pmod("event_id", F.lit(5)) / 4.0).alias("score"))
+    pair = e.select("event_id", F.struct("start", "end", "score").alias("a")).join(e.select((F.col("event_id") - 1).alias("event_id"), F.struct("start", "end", "score").alias("b")), "event_id")
+    a, b = F.col("a"), F.col("b")
+    return pair.select("event_id", spans.overlap(a["start"], a["end"], b["start"], b["end"]).alias("shared"), spans.contained(a["start"], a["end"], b["start"], b["end"]).alias("inside"), spans.conflict(a, b).alias("yields"))
+
+
+def event_windows(s, d):
+    """Numbers found in event properties by ten-minute window: the streaming count on a table."""
+    got = windowed_counts(_read(s, d, "events"), "ts", "props", recognizers=[Recognizer("NUMBER", (("[0-9]+", 0.5),))])
+    return got.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "entity_type", "n")
+
+
+def stop_word_tokens(s, d):
+    """Words of conversations that are stop words."""
+    t = _texts(s, d, "conversations", "role", "text").select("role", F.explode(tk.tokens(F.regexp_replace("text", "[^A-Za-z]+", " "))).alias("t"))
+    return t.groupBy("role").agg(F.count("*").alias("n"), F.count_if("t.is_stop").alias("stops"))
+
+
+def mask_findings(s, d):
+    out = an.anonymize(analyze(_texts(s, d, "documents", "doc_id", "text"), recognizers=RULES[:1]), operators={"DEFAULT": an.mask("#")}, items="items")
+    rows = out.select("doc_id", F.md5("anonymized").alias("h"), F.size("items").alias("n"))
+    return rows
+
+
+def _values(rows) -> str:
+    one = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
+
+
+def _expected_findings() -> list[tuple]:
+    return [(e, x, t.index("["), t[t.index("[") + 1 : t.index("]")]) for e, x, t in literals.FINDINGS]
+
+
 _EMAILS = f"SELECT doc_id, source, lang, 'EMAIL_ADDRESS' AS entity_type, unnest(regexp_extract_all(text, '{EMAIL}')) AS span FROM documents"
 _IPS = f"SELECT doc_id, source, lang, 'IP_ADDRESS' AS entity_type, unnest(regexp_extract_all(text, '{IP}')) AS span FROM documents"
 _BOTH = f"({_EMAILS} UNION ALL {_IPS})"
@@ -139,7 +245,24 @@ _VALID_IP = "list_bool_and([CAST(p AS BIGINT) <= 255 AND (p = '0' OR p NOT LIKE
 _SPANS = "(SELECT DISTINCT user_id AS doc_id, event_type AS entity_type, CAST(event_id % 97 AS INT) AS start, CAST(event_id % 97 + 1 + event_id % 13 AS INT) AS \"end\", event_id % 5 / 4.0::DOUBLE AS score FROM events)"
 _LUHN = "list_sum([CASE WHEN i % 2 = 0 THEN CAST(g[len(g) - i] AS INT) ELSE (CAST(g[len(g) - i] AS INT) * 2) // 10 + (CAST(g[len(g) - i] AS INT) * 2) % 10 END FOR i IN range(len(g))]) % 10 = 0"
 
+_NEXT = "(SELECT event_id, CAST(event_id % 97 AS INT) AS s, CAST(event_id % 97 + 1 + (event_id * 7) % 13 AS INT) AS e, event_id % 5 / 4.0::DOUBLE AS p FROM events)"
+_STOPS = ", ".join(f"'{w}'" for w in tk.STOP_WORDS.split())
+
 ORACLE: dict[str, str] = {
+    "validator_verdicts": f"SELECT * FROM {_values(literals.verdicts())} t(entity, input, verdict)",
+    "recognizer_findings": f"SELECT entity, lang, CAST(start AS INT) AS start, span FROM {_values(_expected_findings())} t(entity, lang, start, span)",
+    "anonymize_rewrites": f"SELECT * FROM {_values([(r[0], r[-1]) for r in literals.REWRITES])} t(name, anonymized)",
+    "registry_counts": "SELECT lang, CAST(n AS INT) AS n FROM (VALUES ('en', 17), ('it', 16), ('es', 13), ('de', 10), ('fr', 10), ('ja', 10), ('pt', 10), ('ru', 10), ('uk', 10), ('zh', 10)) t(lang, n)",
+    "text_list": "SELECT CAST(p AS INT) AS position, t AS entity_type, CAST(s AS INT) AS start, span FROM (VALUES (0, 'EMAIL_ADDRESS', 5, 'a@b.org'), (5, 'IP_ADDRESS', 0, '10.0.0.1'), (5, 'IP_ADDRESS', 13, '10.0.0.2')) x(p, t, s, span)",
+    "record_findings": "SELECT CAST(i AS INT) AS id, path, t AS entity_type, span, CAST(p AS DOUBLE) AS score, r AS score_enhanced FROM (VALUES (1, 'r.mail', 'EMAIL_ADDRESS', 'a@b.org', 1.0, false), (1, 'r.inner.ssn', 'US_SSN', '219-09-9999', 0.85, true), (1, 'l', 'EMAIL_ADDRESS', 'c@d.org', 1.0, false), (1, 'm.k', 'EMAIL_ADDRESS', 'e@f.org', 1.0, false)) x(i, path, t, span, p, r)",
+    "context_words": "SELECT text, given, CAST(p AS DOUBLE) AS score, w AS supportive_context_word FROM (VALUES ('my ssn is 219-09-9999', false, 0.85, 'ssn'), ('ssn a b c d e f 219-09-9999', false, 0.5, NULL), ('no 219-09-9999', false, 0.5, NULL), ('my ssn is 219-09-9999', true, 0.85, 'ssn'), ('ssn a b c d e f 219-09-9999', true, 0.85, 'ssn'), ('no 219-09-9999', true, 0.85, 'ssn')) x(text, given, p, w)",
+    "document_lines": "SELECT doc_id, CAST(len(l) AS BIGINT) AS n, CAST(len(l) AS BIGINT) AS last, CAST(list_sum([length(x) FOR x IN l]) AS BIGINT) AS chars FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents)",
+    "span_predicates": f"SELECT a.event_id, greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) AS shared, a.s >= b.s AND a.e <= b.e AS inside, CASE WHEN a.s = b.s AND a.e = b.e THEN a.p <= b.p ELSE a.s >= b.s AND a.e <= b.e END AS yields FROM {_NEXT} a JOIN {_NEXT} b ON b.event_id = a.event_id + 1",
+    "event_windows": "SELECT strftime(to_timestamp(floor(epoch(ts) / 600) * 600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS start, 'NUMBER' AS entity_type, CAST(sum(len(regexp_extract_all(props, '[0-9]+'))) AS BIGINT) AS n FROM events GROUP BY 1 HAVING n > 0",
+    "stop_word_tokens": f"SELECT role, count(*) AS n, count(*) FILTER (lower(w) IN ({_STOPS})) AS stops FROM (SELECT role, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations) GROUP BY role",
+    "mask_findings": f"SELECT doc_id, md5(list_aggregate(list_zip(string_split_regex(text, '{EMAIL}'), list_transform(regexp_extract_all(text, '{EMAIL}'), lambda m: repeat('#', length(m)))).list_transform(lambda z: z[1] || coalesce(z[2], '')), 'string_agg', '')) AS h, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS INT) AS n FROM documents",
+    "deny_list_findings": r"SELECT span, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[^\p{L}\p{M}\p{N}_]+')) AS span FROM documents) WHERE span IN ('the', 'and') GROUP BY span",
+    "aes_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "email_findings": f"SELECT doc_id, span AS email, CAST(length(span) AS INT) AS n FROM ({_EMAILS})",
     "ip_findings": f"SELECT doc_id, span AS ip FROM ({_IPS}) WHERE {_VALID_IP}",
     "card_luhn_findings": f"SELECT doc_id, span AS card, {_LUHN} AS valid FROM (SELECT doc_id, span, regexp_replace(span, '[^0-9]', '', 'g') AS g FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{CARD}')) AS span FROM documents))",
@@ -155,12 +278,12 @@ ORACLE: dict[str, str] = {
     "mask_last4": f"SELECT doc_id, repeat('*', length(span) - 4) || right(span, 4) AS masked FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{CARD}')) AS span FROM documents)",
     "hash_sha256": f"SELECT doc_id, sha256(span || '0123456789abcdef') AS h FROM ({_EMAILS})",
     "conversation_redaction": f"SELECT role, count(*) AS n, CAST(sum(length(regexp_replace(text, '{EMAIL}', '', 'g'))) AS BIGINT) AS chars FROM conversations GROUP BY role",
-    "url_findings_pages": "SELECT page_id, count(*) AS n, CAST(sum(length(u)) AS BIGINT) AS chars FROM (SELECT page_id, unnest(regexp_extract_all(html, 'https?://[A-Za-z0-9./_-]+')) AS u FROM pages) GROUP BY page_id",
+    "url_findings_pages": f"SELECT page_id, count(*) AS n, CAST(sum(length(u)) AS BIGINT) AS chars FROM (SELECT page_id, unnest(regexp_extract_all(html, '{HREF}')) AS u FROM pages) GROUP BY page_id",
     "dedup_containment": f"SELECT * FROM {_SPANS} a WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM {_SPANS} b WHERE b.score > 0 AND b.doc_id = a.doc_id AND b.entity_type = a.entity_type AND a.start >= b.start AND a.\"end\" <= b.\"end\" AND (-b.score, b.start, b.start - b.\"end\") < (-a.score, a.start, a.start - a.\"end\"))",
     "merge_same_type": f"SELECT doc_id, entity_type, min(start) AS start, max(\"end\") AS \"end\", max(score) AS score FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, entity_type ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN start < max(\"end\") OVER (PARTITION BY doc_id, entity_type ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM {_SPANS})) GROUP BY doc_id, entity_type, island",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (email_findings, ip_findings, card_luhn_findings, findings_by_source, findings_by_lang_rollup, top_documents, contains, threshold_filter, allow_exact, allow_regex, redact_replace, redact_keep, mask_last4, hash_sha256, conversation_redaction, url_findings_pages, deny_list_findings, dedup_containment, merge_same_type, aes_roundtrip, all_recognizers)
+    for f in (email_findings, ip_findings, card_luhn_findings, findings_by_source, findings_by_lang_rollup, top_documents, contains, threshold_filter, allow_exact, allow_regex, redact_replace, redact_keep, mask_last4, hash_sha256, conversation_redaction, url_findings_pages, deny_list_findings, dedup_containment, merge_same_type, aes_roundtrip, all_recognizers, validator_verdicts, recognizer_findings, anonymize_rewrites, registry_counts, text_list, record_findings, context_words, document_lines, span_predicates, event_windows, stop_word_tokens, mask_findings)
 }

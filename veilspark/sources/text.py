@@ -15,15 +15,6 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over four times the cores where its input has fewer files than there are cores, so that scanning patterns uses them all.
-
-    A file of one row group is read by one task, however large it is. Inputs of many files stay as they are read, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if len(df.inputFiles()) < cores else df
-
-
 def lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per line (``line`` from 1); carriage returns before line feeds go, a final partial line stays."""
     rest = [c for c in df.columns if c != text]
