@@ -30,12 +30,12 @@ PLANS = {
     "IL": Plan("972", "0", "(?:[23489][0-9]{7}|7[1-9][0-9]{7})", "5[0-9]{8}"),
     "IN": Plan("91", "0", "(?:1[0-9]{9}|[2-5][0-9]{9})", "[6-9][0-9]{9}"),
     "BR": Plan("55", "0", "[1-9][1-9][2-5][0-9]{7}", "[1-9][1-9]9[0-9]{8}"),
-    "ZA": Plan("27", "0", "(?:[1-5][0-9]{8}|8[0-9]{8}|9[0-9]{8})", "(?:[67][0-9]{8}|8[1-4][0-9]{7})"),
+    "ZA": Plan("27", "0", "(?:[1-5][0-9]{8}|8[05-9][0-9]{7}|9[0-9]{8})", "(?:[67][0-9]{8}|8[1-4][0-9]{7})"),
 }
 DEFAULT_REGIONS = ("US", "GB", "DE", "FR", "IL", "IN", "CA", "BR")
 # at least 7 and at most 17 digits, with punctuation between; no letter, currency or percent sign beside
-CANDIDATE = r"(?<![0-9A-Za-z$€£¥%/.,:+-])(?:\+ ?|\((?=[0-9 ]{1,6}\)))?[0-9](?:[ ().\-/]{0,3}[0-9]){6,16}(?:(?: ?(?:ext\.?|x) ?)[0-9]{1,7})?(?![0-9A-Za-z€£¥%]|[-/.:,][0-9])"
-HOLDS = r"[0-9][ ().\-/]{0,3}[0-9][ ().\-/]{0,3}[0-9][ ().\-/]{0,3}[0-9][ ().\-/]{0,3}[0-9][ ().\-/]{0,3}[0-9]"
+CANDIDATE = r"(?=[0-9+(])(?<![0-9A-Za-z$€£¥%/.,:+-])(?:\+ ?|\((?=[0-9 ]{1,6}\)))?[0-9](?:[ ().\-/]{0,3}[0-9]){6,16}(?:(?: ?(?:ext\.?|x) ?)[0-9]{1,7})?(?![0-9A-Za-z€£¥%]|[-/.:,][0-9])"
+HOLDS = r"[0-9](?:[ ().\-/]{0,3}[0-9]){6}"
 _DATE = r"^(?:[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{1,4}|[0-9]{8} ?[0-9]{2}:?[0-9]{2}.*)$"
 
 

@@ -37,17 +37,19 @@ class Recognizer:
 
 B, E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 DIGIT = "[0-9]"
+FIVE = "[0-9](?:[^0-9]?[0-9]){4}"  # five digits, one other character between them at most
+_MANY = set("CREDIT_CARD DATE_TIME MEDICAL_LICENSE US_BANK_NUMBER US_DRIVER_LICENSE US_ITIN US_PASSPORT UK_NHS US_NPI ABA_ROUTING_NUMBER PL_PESEL ZA_ID_NUMBER".split())
 
 
 def _r(entity: str, pattern: str, score: float, context: str = "", validate=None, lang: str = "", country: str | None = None, default: bool = True) -> Recognizer:
-    return Recognizer(entity, ((B + pattern + E, score),), tuple(context.split()), validate, tuple(lang.split()), country, default, holds=DIGIT)
+    return Recognizer(entity, ((B + pattern + E, score),), tuple(context.split()), validate, tuple(lang.split()), country, default, holds=FIVE if entity in _MANY else DIGIT)
 
 
 CATALOG: tuple[Recognizer, ...] = (
     _r("CREDIT_CARD", r"[0-9](?:[ -]?[0-9]){12,18}+", 0.3, "credit card visa mastercard amex debit", c.card, "en es it pl"),
     Recognizer("EMAIL_ADDRESS", ((r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 1.0),), ("email", "mail"), c.email, holds="@"),
     Recognizer("IP_ADDRESS", ((r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])", 0.6), (r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?:%[0-9A-Za-z]+)?(?:/[0-9]{1,3})?(?![0-9A-Fa-f:])", 0.6)), ("ip", "ipv4", "ipv6", "address"), lambda t: c.F.when(~c.ip(t), False), holds=r"[0-9]\.[0-9]|:[0-9A-Fa-f]{0,4}:"),
-    Recognizer("URL", ((r"(?i)(?<![a-z0-9])https?://[^\s<>\"')]+", 0.6), (r"(?i)(?<![a-z0-9@.])www\.[a-z0-9-]+(?:\.[a-z0-9-]+)+(?:/[^\s<>\"')]*)?", 0.5)), ("url", "website", "link"), holds=r"://|[wW]\."),
+    Recognizer("URL", ((r"(?i)(?<![a-z0-9])https?://[^\s<>\"')]+", 0.6), (r"(?i)(?<![a-z0-9@.])www\.[a-z0-9-]+(?:\.[a-z0-9-]+)+(?:/[^\s<>\"')]*)?", 0.5)), ("url", "website", "link"), holds=r"://|[wW]{3}\."),
     Recognizer("PHONE_NUMBER", ((phones.CANDIDATE, 0.4),), ("phone", "number", "telephone", "cell", "cellphone", "mobile", "call"), None, holds=phones.HOLDS, find=phones.find),
     _r("IBAN_CODE", iban.pattern(), 0.5, "iban bank transaction", c.mod97),
     _r("DATE_TIME", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})", 0.6, "date birthday"),
