@@ -18,7 +18,7 @@ def main() -> None:
     where, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.files.maxPartitionBytes", "2m").config("spark.sql.session.timeZone", "UTC").config("spark.veilspark.spread", str(4 * int(cpus))).getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.sql.files.maxPartitionBytes", "2m").config("spark.sql.session.timeZone", "UTC").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.veilspark.spread", str(4 * int(cpus))).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     took = {}

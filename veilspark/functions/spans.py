@@ -33,6 +33,22 @@ def find(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["out"]))))
 
 
+def find_in(name: str, pattern: str) -> Column:
+    """``find`` over a column given by name, as one SQL expression: a plan of many patterns is built much faster so."""
+    quote = next((q for q in "'\"" if q not in pattern), None)
+    if quote is None or "`" in name:
+        return find(F.col(name), pattern)
+    one = f"cast(array(named_struct('start', acc.at, 'end', cast(acc.at + length(substring_index(part, '{CLOSE}', 1)) as int), 'text', substring_index(part, '{CLOSE}', 1))) as {FOUND})"
+    whole = f"size(acc.out) >= {RUN}"
+    step = (
+        f"named_struct('at', cast(if(acc.at < 0, length(part), acc.at + length(part) - 1) as int), 'full', if({whole}, concat(acc.full, array(acc.out)), acc.full), "
+        f"'out', case when acc.at < 0 then acc.out when {whole} then {one} else concat(acc.out, {one}) end)"
+    )
+    parts = f"split(regexp_replace(translate(`{name}`, '{OPEN}{CLOSE}', '{STAND_IN * 2}'), r{quote}{pattern}{quote}, '{OPEN}$0{CLOSE}'), '{OPEN}', -1)"
+    start = f"named_struct('at', -1, 'full', cast(array() as array<{FOUND}>), 'out', cast(array() as {FOUND}))"
+    return F.expr(f"aggregate({parts}, {start}, (acc, part) -> {step}, acc -> flatten(concat(acc.full, array(acc.out))))")
+
+
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Length that two spans share; 0 where they touch or lie apart."""
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))

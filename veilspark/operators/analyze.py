@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.spans import find, let
+from ..functions.spans import find_in, let
 from ..plans.catalog import Recognizer, select
 
 FINDING = "struct<entity_type:string,start:int,end:int,score:double,recognizer:string,score_enhanced:boolean,supportive_context_word:string>"
 BOOST, FLOOR, WORDS_BEFORE = 0.35, 0.4, 5
 
 
-def _scan(text: Column, r: Recognizer, context: Column | None, whole_words: bool) -> Column:
+def _scan(name: str, r: Recognizer, context: Column | None, whole_words: bool) -> Column:
     """Findings of one recognizer: pattern score, 1 where valid, gone where invalid, raised by a context word before the match or among
     the caller's words."""
-    words = tuple(w.lower() for w in r.context)
+    words, text = tuple(w.lower() for w in r.context), F.col(name)
 
     def scored(score: float):
         def finding(m: Column) -> Column:
@@ -34,8 +34,10 @@ def _scan(text: Column, r: Recognizer, context: Column | None, whole_words: bool
         before = F.transform(F.slice(back, 1, WORDS_BEFORE + 1), lambda w: F.lower(F.reverse(w)))
         if context is not None:
             before = F.concat(before, F.transform(context, F.lower))
+        # one expression for all words
+        declared = F.split(F.lit(" ".join(words)), " ") if not any(" " in w for w in words) else F.array(*map(F.lit, words))
         held = (lambda b, w: b == w) if whole_words else (lambda b, w: b.contains(w))
-        return let(before, lambda before: F.try_element_at(F.filter(F.array(*map(F.lit, words)), lambda w: F.exists(before, lambda b: held(b, w))), F.lit(1)))
+        return let(before, lambda before: F.try_element_at(F.filter(declared, lambda w: F.exists(before, lambda b: held(b, w))), F.lit(1)))
 
     def made(m: Column, base: Column, hit: Column) -> Column:
         score = F.when(hit.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(FLOOR), base + BOOST))).otherwise(base)
@@ -43,15 +45,16 @@ def _scan(text: Column, r: Recognizer, context: Column | None, whole_words: bool
 
     if r.find:
         return F.transform(r.find(text), scored(r.patterns[0][1]))
-    parts = [F.transform(find(text, pattern), scored(score)) for pattern, score in r.patterns]
+    parts = [F.transform(find_in(name, pattern), scored(score)) for pattern, score in r.patterns]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def _scan_all(text: Column, chosen: list[Recognizer], context: Column | None, whole_words: bool) -> Column:
+def _scan_all(name: str, chosen: list[Recognizer], context: Column | None, whole_words: bool) -> Column:
     """Findings of all recognizers. Those with one necessary condition share its test, so that most texts are scanned by few of them."""
+    text = F.col(name)
     none, by_guard = F.array().cast(f"array<{FINDING}>"), {}
     for r in chosen:
-        by_guard.setdefault(r.holds, []).append(_scan(text, r, context, whole_words))
+        by_guard.setdefault(r.holds, []).append(_scan(name, r, context, whole_words))
     parts = [F.concat(*scans) if holds is None else F.when(text.rlike(holds), F.concat(*scans)).when(text.isNotNull(), none) for holds, scans in by_guard.items()]
     return F.concat(*parts) if parts else F.when(text.isNotNull(), none)
 
@@ -85,7 +88,7 @@ def analyze(df: DataFrame, text: str = "text", out: str = "findings", language:
     chosen = select(language, entities) if recognizers is None else recognizers
     col = F.col(text)
     words = F.array(*map(F.lit, context)) if isinstance(context, (list, tuple)) and context else context if isinstance(context, Column) else None
-    found = _scan_all(col, chosen, words, whole_words)
+    found = _scan_all(text, chosen, words, whole_words)
     least = lambda x: F.coalesce(*[F.when(x["entity_type"] == k, F.lit(v)) for k, v in (thresholds or {}).items()], F.lit(float(threshold)))
     step = df.withColumn(out, found).withColumn(out, ordered(F.filter(out, lambda x: x["score"] >= least(x)))).withColumn(out, without_duplicates(F.col(out)))
     if allow:
