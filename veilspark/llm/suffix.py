@@ -46,10 +46,10 @@ class Unit(NamedTuple):
         return n if self.name == "bytes" else 2 * n - 1
 
 
-BYTES, WORDS = Unit("bytes", 256, 36, 1), Unit("words", 26, 8, 8)
+BYTES, WORDS = Unit("bytes", 256, 72, 1), Unit("words", 16, 14, 8)
 BUNDLE_ROWS, HOT_ROWS = 20_000, 40_000
 SLICE = 1 << 22  # windows of a text looked at together
-HOT_KEYS = 2_048
+HOT_KEYS, SALTS = 2_048, 64
 NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 _PLACE = U64((1 << 28) - 1)
 _CONTEXT_BASE = 0xD1342543DE82EF95
@@ -221,11 +221,14 @@ SPANS = "doc_id long, th long, lo int, hi int"
 
 
 def _semi(rows: DataFrame, keys: DataFrame, on: list[str], hot: int) -> DataFrame:
-    """Rows whose key is among ``keys`` (with ``n``, its rows). Keys of over ``hot`` rows, of which there are few, are broadcast, so that
-    their rows are not dealt to one task."""
-    often = F.broadcast(keys.filter(F.col("n") > hot).select(*on))
-    rest = rows.join(often, on, "left_anti").join(keys.filter(F.col("n") <= hot).select(*on), on, "left_semi")
-    return rows.join(often, on, "left_semi").union(rest)
+    """Rows whose key is among ``keys`` (with ``n``, its rows). The rows of keys of over ``hot`` rows, of which there are few, are dealt over
+    many tasks by a salt."""
+    often = F.broadcast(keys.filter(F.col("n") > hot).select(*on, F.lit(True).alias("__hot")))
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(SALTS)).cast("int")
+    salted = rows.join(often, on, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
+    every = F.when(F.col("n") > hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    wanted = keys.select(*on, F.explode(every).alias("__salt"))
+    return salted.join(wanted, [*on, "__salt"], "left_semi").select(*rows.columns)
 
 
 def repeated_windows(df: DataFrame, length: int, unit: Unit = BYTES, across: bool = False) -> DataFrame:
