@@ -46,8 +46,10 @@ class Unit(NamedTuple):
         return n if self.name == "bytes" else 2 * n - 1
 
 
-BYTES, WORDS = Unit("bytes", 256, 72, 1), Unit("words", 16, 14, 8)
+BYTES, WORDS = Unit("bytes", 256, 36, 1), Unit("words", 16, 14, 8)
 BUNDLE_ROWS, HOT_ROWS = 20_000, 40_000
+OUT_ROWS = 5_000  # blocks handed on together: a table for each document costs more than its blocks
+_BLOCK = ["doc_id", "th", "lo", "hi", "at", "core", "core2", "c", "left", "right"]
 SLICE = 1 << 22  # windows of a text looked at together
 HOT_KEYS, SALTS = 2_048, 64
 NO_ID = -(1 << 63)  # stands for a null doc_id in joins
@@ -140,10 +142,10 @@ def _blocks(length: int, unit: Unit):
 
     @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack, out = zstandard.ZstdDecompressor(), []
         for f in frames:
             for k, th, z, runs in zip(f["doc_id"], f["th"], f["z"], f["runs"], strict=True):
-                text, out = unpack.decompress(z), []
+                text = unpack.decompress(z)
                 if unit is not BYTES:
                     text = unit.symbols(text).tobytes()
                 for r in runs:
@@ -152,10 +154,12 @@ def _blocks(length: int, unit: Unit):
                         first, last = max(lo, p - (b + 1) * size + 1), min(hi, p - b * size)
                         core, end = p - b * size, p - (b + 1) * size + 1 + length
                         name = hashlib.blake2b(text[core * w : end * w], digest_size=16).digest()
-                        out.append((first, last, core, int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), r["c"], text[first * w : core * w], text[end * w : (last + length) * w]))
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pd.DataFrame({"doc_id": k, "th": th, "lo": cols[0], "hi": cols[1], "at": cols[2], "core": cols[3], "core2": cols[4], "c": cols[5], "left": cols[6], "right": cols[7]})
+                        out.append((k, th, first, last, core, int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), r["c"], text[first * w : core * w], text[end * w : (last + length) * w]))
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=_BLOCK)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=_BLOCK)
 
     return run
 
