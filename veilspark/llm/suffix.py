@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -140,26 +141,44 @@ def _blocks(length: int, unit: Unit):
     """Blocks of undecided runs with the symbols left and right of their core."""
     size, w = unit.block, unit.width
 
+    def blocks(k: int, th: int, text: bytes, lo: np.ndarray, hi: np.ndarray, p: np.ndarray, c: np.ndarray) -> tuple:
+        b = (p - hi) // size
+        count = (p - lo) // size - b + 1
+        run = np.repeat(np.arange(len(lo)), count)
+        b = b[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        core = p[run] - b * size
+        end = core - size + 1 + length
+        first, last = np.maximum(lo[run], core - size + 1), np.minimum(hi[run], core)
+        names, left, right = [], [], []
+        for i, j, x, y in zip((core * w).tolist(), (end * w).tolist(), (first * w).tolist(), ((last + length) * w).tolist(), strict=True):
+            names.append(hashlib.blake2b(text[i:j], digest_size=16).digest())
+            left.append(text[x:i])
+            right.append(text[j:y])
+        name = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+        return np.full(len(run), k), np.full(len(run), th), first, last, core, name[:, 0], name[:, 1], c[run], left, right
+
+    def joined(out: list[tuple]) -> pd.DataFrame:
+        columns = list(zip(*out, strict=True))
+        numbers = {name: np.concatenate(x) for name, x in zip(_BLOCK, columns[:8], strict=False)}
+        return pd.DataFrame(numbers | {"left": list(chain(*columns[8])), "right": list(chain(*columns[9]))})
+
     @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack, out = zstandard.ZstdDecompressor(), []
+        unpack, out, rows = zstandard.ZstdDecompressor(), [], 0
         for f in frames:
-            for k, th, z, runs in zip(f["doc_id"], f["th"], f["z"], f["runs"], strict=True):
+            for k, th, z, *runs in zip(*(f[c] for c in ("doc_id", "th", "z", "lo", "hi", "p", "c")), strict=True):
                 text = unpack.decompress(z)
                 if unit is not BYTES:
                     text = unit.symbols(text).tobytes()
-                for r in runs:
-                    lo, hi, p = r["lo"], r["hi"], r["p"]
-                    for b in range((p - hi) // size, (p - lo) // size + 1):
-                        first, last = max(lo, p - (b + 1) * size + 1), min(hi, p - b * size)
-                        core, end = p - b * size, p - (b + 1) * size + 1 + length
-                        name = hashlib.blake2b(text[core * w : end * w], digest_size=16).digest()
-                        out.append((k, th, first, last, core, int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), r["c"], text[first * w : core * w], text[end * w : (last + length) * w]))
-                if len(out) >= OUT_ROWS:
-                    yield pd.DataFrame(out, columns=_BLOCK)
-                    out = []
+                # a long text has many runs: so many at a time as make about one table
+                for a in range(0, len(runs[0]), OUT_ROWS):
+                    out.append(blocks(k, th, text, *(np.asarray(x[a : a + OUT_ROWS], np.int64) for x in runs)))
+                    rows += len(out[-1][0])
+                    if rows >= OUT_ROWS:
+                        yield joined(out)
+                        out, rows = [], 0
         if out:
-            yield pd.DataFrame(out, columns=_BLOCK)
+            yield joined(out)
 
     return run
 
@@ -257,7 +276,7 @@ def repeated_windows(df: DataFrame, length: int, unit: Unit = BYTES, across: boo
         inside = open_.filter("n > 1 and c = 1").select("anchor", "ctx", "n")
         wanted = wanted.union(_semi(shared, inside, ["anchor", "ctx"], hot).select("doc_id", "th", "lo", "hi", "p", F.lit(1)))
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "p", "c")).alias("runs"))
-    parts = packed(long_).join(wanted, ["doc_id", "th"]).select("doc_id", "th", "z", "runs").mapInPandas(_blocks(length, unit), SPANS + ", at int, core long, core2 long, c long, left binary, right binary")
+    parts = packed(long_).join(wanted, ["doc_id", "th"]).select("doc_id", "th", "z", "runs.lo", "runs.hi", "runs.p", "runs.c").mapInPandas(_blocks(length, unit), SPANS + ", at int, core long, core2 long, c long, left binary, right binary")
     parts = materialize(parts, "blocks")
     discard(runs, shared, contexts)
     cores = parts.groupBy("core", "core2").agg(F.count("*").alias("n"), F.min("c").alias("least")).filter("n > 1 and least = 1").drop("least")
@@ -289,12 +308,11 @@ def packed(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "doc_id long, th long, z binary")
 
 
-def _covered(size: int, spans, length: int) -> np.ndarray:
-    """Which of ``size`` symbols lie in a window of one of the spans."""
-    edge = np.zeros(size + 1, np.int64)
-    for s in spans if spans is not None else ():
-        edge[s["lo"]] += 1
-        edge[s["hi"] + length] -= 1
+def _covered(size: int, lo: np.ndarray | None, hi: np.ndarray | None, length: int) -> np.ndarray:
+    """Which of ``size`` symbols lie in a window that starts at lo to hi of one of the spans."""
+    if lo is None:
+        return np.zeros(size, bool)
+    edge = np.bincount(lo, minlength=size + 1) - np.bincount(np.asarray(hi) + length, minlength=size + 1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -317,7 +335,7 @@ def _remove_repeats(df: DataFrame, length: int, passage: int) -> DataFrame:
     spans = {}
     for name, unit, size in (("spans", BYTES, length), ("passages", WORDS, passage)):
         windows = repeated_windows(docs, size, unit, unit is WORDS)
-        spans[name] = materialize(windows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias(name)), name)
+        spans[name] = materialize(windows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias(name)).select("doc_id", "th", *(F.col(f"{name}.{c}").alias(f"{name}_{c}") for c in ("lo", "hi"))), name)
     found = spans["spans"].join(spans["passages"], ["doc_id", "th"], "full")
 
     @tidy
@@ -325,16 +343,16 @@ def _remove_repeats(df: DataFrame, length: int, passage: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         for f in frames:
             out = []
-            for k, z, spans, passages in zip(f["doc_id"], f["z"], f["spans"], f["passages"], strict=True):
+            for k, z, lo, hi, words_lo, words_hi in zip(*(f[c] for c in f.columns), strict=True):
                 text = unpack.decompress(z) if z[:4] == b"\x28\xb5\x2f\xfd" else b""
-                gone = _covered(len(text), spans, length)
+                gone = _covered(len(text), lo, hi, length)
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                shared = int(_covered(len(text.split()), passages, passage).sum()) if passages is not None else 0
+                shared = int(_covered(len(text.split()), words_lo, words_hi, passage).sum()) if words_lo is not None else 0
                 out.append((k, len(text), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest(), shared, kept))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"])
 
-    got = packed(docs).join(found, ["doc_id", "th"], "left").select("doc_id", "z", "spans", "passages").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary")
+    got = packed(docs).join(found, ["doc_id", "th"], "left").select("doc_id", "z", "spans_lo", "spans_hi", "passages_lo", "passages_hi").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary")
     return got.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
