@@ -243,15 +243,20 @@ def _squeeze(f: pd.DataFrame) -> pd.DataFrame:
 SPANS = "doc_id long, th long, lo int, hi int"
 
 
+def _owners() -> F.Column:
+    """Whether the rows of a group are of more than one document, by numbers alone: structs would have to be sorted."""
+    return (F.min("doc_id") != F.max("doc_id")) | (F.min("th") != F.max("th"))
+
+
 def _semi(rows: DataFrame, keys: DataFrame, on: list[str], hot: int) -> DataFrame:
     """Rows whose key is among ``keys`` (with ``n``, its rows). The rows of keys of over ``hot`` rows, of which there are few, are dealt over
-    many tasks by a salt."""
+    many tasks by a salt. Keys are small and dealt evenly, so each task hashes its own and nothing is sorted."""
     often = F.broadcast(keys.filter(F.col("n") > hot).select(*on, F.lit(True).alias("__hot")))
     salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(SALTS)).cast("int")
     salted = rows.join(often, on, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
     every = F.when(F.col("n") > hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     wanted = keys.select(*on, F.explode(every).alias("__salt"))
-    return salted.join(wanted, [*on, "__salt"], "left_semi").select(*rows.columns)
+    return salted.join(wanted.hint("shuffle_hash"), [*on, "__salt"], "left_semi").select(*rows.columns)
 
 
 def repeated_windows(df: DataFrame, length: int, unit: Unit = BYTES, across: bool = False) -> DataFrame:
@@ -262,16 +267,15 @@ def repeated_windows(df: DataFrame, length: int, unit: Unit = BYTES, across: boo
     long_ = df.filter(F.octet_length("text") >= unit.least_bytes(length))
     runs = materialize(long_.mapInPandas(_runs(length, unit), "doc_id long, th long, lo int, hi int, p int, anchor long, ctx long"), "runs")
     hot = max(1, runs.count() // HOT_KEYS)  # so many rows make a key hot: there are 2,048 such keys at most
-    key = F.struct("doc_id", "th")
-    copies = F.when(F.min(key) != F.max(key), 2).otherwise(1) if across else F.least(F.count("*"), F.lit(2))
+    copies = F.when(_owners(), 2).otherwise(1) if across else F.least(F.count("*"), F.lit(2))
     often = runs.groupBy("anchor").agg(F.count("*").alias("n"), copies.alias("c")).filter("c > 1").drop("c")
     shared = materialize(_semi(runs, often, ["anchor"], hot), "shared_runs")
-    contexts = materialize(shared.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), copies.cast("int").alias("c"), F.min(F.struct("doc_id", "th", "lo", "hi", "p")).alias("one")), "contexts")
+    contexts = materialize(shared.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), copies.cast("int").alias("c"), *(F.first(x).alias(x) for x in ("doc_id", "th", "lo", "hi", "p"))), "contexts")
     whole = materialize(_semi(shared, contexts.filter("c > 1").select("anchor", "ctx", "n"), ["anchor", "ctx"], hot).select("doc_id", "th", "lo", "hi"), "whole")
     # contexts that occur once, and those that share their anchor
     open_ = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("c").alias("least")).filter("n > 1 and least = 1").drop("least")
     open_ = _semi(contexts, open_, ["anchor"], hot)
-    wanted = open_.filter("n = 1 or c > 1").select("one.*", "c")
+    wanted = open_.filter("n = 1 or c > 1").select("doc_id", "th", "lo", "hi", "p", "c")
     if across:  # contexts that repeat inside one document only: each of them may also start elsewhere
         inside = open_.filter("n > 1 and c = 1").select("anchor", "ctx", "n")
         wanted = wanted.union(_semi(shared, inside, ["anchor", "ctx"], hot).select("doc_id", "th", "lo", "hi", "p", F.lit(1)))
@@ -289,8 +293,7 @@ def repeated_windows(df: DataFrame, length: int, unit: Unit = BYTES, across: boo
     key = F.concat(F.expr(f"substring(left, (w - lo) * {unit.width} + 1)"), F.expr(f"substring(right, 1, ({unit.block - 1} - (at - w)) * {unit.width})"))
     hot = hot.select("doc_id", "th", "c", "w", "core", "core2", before.alias("before"), key.alias("key"))
     names = ["core", "core2", "before", "key"]
-    owner = F.struct("doc_id", "th")
-    total = F.when(F.min(owner) != F.max(owner), 2).otherwise(F.max("c")) if across else F.sum("c")
+    total = F.when(_owners(), 2).otherwise(F.max("c")) if across else F.sum("c")
     counted = hot.groupBy(*names).agg(total.alias("copies")).filter("copies > 1").drop("copies")
     hot = hot.filter("c = 1").join(counted, names, "left_semi").select("doc_id", "th", F.col("w").alias("lo"), F.col("w").alias("hi"))
     return whole.union(decided).union(hot)
