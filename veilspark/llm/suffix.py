@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, U64, batch_rows, discard, materialize, mix, signed, table, tidy, word_hashes, word_ranges
+from .common import Rolling, U64, batch_rows, discard, materialize, mix, pieces, signed, table, tidy, word_hashes, word_ranges
 
 
 class Unit(NamedTuple):
@@ -48,10 +48,11 @@ class Unit(NamedTuple):
 
 
 BYTES, WORDS = Unit("bytes", 256, 36, 1), Unit("words", 16, 14, 8)
-BUNDLE_ROWS, HOT_ROWS = 20_000, 40_000
+BUNDLE_ROWS, HOT_ROWS = 8_000, 40_000
 OUT_ROWS = 5_000  # blocks handed on together: a table for each document costs more than its blocks
 _BLOCK = ["doc_id", "th", "lo", "hi", "at", "core", "core2", "c", "left", "right"]
-SLICE = 1 << 22  # windows of a text looked at together
+SLICE = 1 << 20  # windows of a text looked at together
+PIECE = 1 << 17  # bytes of texts looked at together
 HOT_KEYS, SALTS = 2_048, 64
 NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 _PLACE = U64((1 << 28) - 1)
@@ -99,12 +100,13 @@ def anchors(data: np.ndarray, length: int, unit: Unit = BYTES) -> tuple[np.ndarr
     """Runs of windows with one anchor: first and last start, anchor place, fingerprints of anchor and context."""
     found = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, U64)] * 2]
     for first in range(0, len(data) - length + 1, SLICE):
-        lo, hi, p, anchor, ctx = _anchors(data[first : first + SLICE + length - 1], length, unit.anchor)
+        lo, hi, p, anchor, ctx, _ = _anchors(data[first : first + SLICE + length - 1], length, unit.anchor, np.zeros(1, np.int64))
         found.append([lo + first, hi + first, p + first, anchor, ctx])
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _anchors(data: np.ndarray, length: int, size: int) -> tuple[np.ndarray, ...]:
+def _anchors(data: np.ndarray, length: int, size: int, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As ``anchors``, over texts of at least ``length`` symbols that begin at ``starts``, and the number of each run's text."""
     width = length - size + 1
     roll = Rolling(data)
     at = np.arange(len(data) - size + 1)
@@ -117,22 +119,46 @@ def _anchors(data: np.ndarray, length: int, size: int) -> tuple[np.ndarray, ...]
     if width > step:
         least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
     place = (least & _PLACE).astype(np.int64)
-    edge = np.flatnonzero(place[1:] != place[:-1]) + 1
-    lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(place)]]) - 1
+    over = np.append(starts[1:], len(data)) - length + 1  # the first window of each text that would reach into the next
+    edge = np.unique(np.concatenate([np.flatnonzero(place[1:] != place[:-1]) + 1, starts, over]))
+    lo, hi = edge[:-1], edge[1:] - 1
+    text = np.searchsorted(starts, lo, side="right") - 1
+    inside = lo < over[text]
+    lo, hi, text = lo[inside], hi[inside], text[inside]
     p = place[lo]
-    return lo, hi, p, h[p], Rolling(data, _CONTEXT_BASE).of(lo, hi + length) ^ mix((p - lo).astype(U64))
+    return lo, hi, p, h[p], Rolling(data, _CONTEXT_BASE).of(lo, hi + length) ^ mix((p - lo).astype(U64)), text
+
+
+def _anchors_of(texts: list[bytes], length: int, unit: Unit) -> tuple[np.ndarray, ...]:
+    """As ``_anchors`` for whole texts, with places counted from the start of each."""
+    if len(texts) == 1:
+        found = anchors(unit.symbols(texts[0]), length, unit)
+        return *found, np.zeros(len(found[0]), np.int64)
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    if unit.name == "bytes":  # by name: a unit that travelled to a worker is another object
+        keep = np.ones(len(data), bool)
+        keep[begin[1:-1] - 1] = False
+        data, counts = data[keep], np.diff(begin) - 1
+    else:
+        ws, we = word_ranges(data)
+        data, counts = word_hashes(data, ws, we), np.diff(np.searchsorted(ws, begin))
+    fit = counts >= length
+    data, which = data[np.repeat(fit, counts)], np.flatnonzero(fit)
+    if not len(which):
+        return *[np.zeros(0, np.int64)] * 3, *[np.zeros(0, U64)] * 2, which
+    starts = np.cumsum(counts[fit]) - counts[fit]
+    lo, hi, p, anchor, ctx, text = _anchors(data, length, unit.anchor, starts)
+    return lo - starts[text], hi - starts[text], p - starts[text], anchor, ctx, which[text]
 
 
 def _runs(length: int, unit: Unit):
     @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out: list[tuple] = []
-            for k, th, text in zip(f["doc_id"], f["th"], f["text"], strict=True):
-                lo, hi, p, anchor, ctx = anchors(unit.symbols(text.encode()), length, unit)
-                out.append((np.full(len(lo), k), np.full(len(lo), th), lo, hi, p, signed(anchor), signed(ctx)))
-            if out:
-                yield pd.DataFrame(dict(zip(("doc_id", "th", "lo", "hi", "p", "anchor", "ctx"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            for part in pieces(f, "text", limit=PIECE):
+                lo, hi, p, anchor, ctx, text = _anchors_of([t.encode() for t in part["text"]], length, unit)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text], "th": part["th"].to_numpy()[text], "lo": lo, "hi": hi, "p": p, "anchor": signed(anchor), "ctx": signed(ctx)})
 
     return run
 
@@ -168,7 +194,7 @@ def _blocks(length: int, unit: Unit):
         for f in frames:
             for k, th, z, *runs in zip(*(f[c] for c in ("doc_id", "th", "z", "lo", "hi", "p", "c")), strict=True):
                 text = unpack.decompress(z)
-                if unit is not BYTES:
+                if unit.name != "bytes":
                     text = unit.symbols(text).tobytes()
                 # a long text has many runs: so many at a time as make about one table
                 for a in range(0, len(runs[0]), OUT_ROWS):
@@ -337,7 +363,7 @@ def _remove_repeats(df: DataFrame, length: int, passage: int) -> DataFrame:
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text", "doc_id").alias("th"), "text")
     spans = {}
     for name, unit, size in (("spans", BYTES, length), ("passages", WORDS, passage)):
-        windows = repeated_windows(docs, size, unit, unit is WORDS)
+        windows = repeated_windows(docs, size, unit, unit.name == "words")
         spans[name] = materialize(windows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias(name)).select("doc_id", "th", *(F.col(f"{name}.{c}").alias(f"{name}_{c}") for c in ("lo", "hi"))), name)
     found = spans["spans"].join(spans["passages"], ["doc_id", "th"], "full")
 
