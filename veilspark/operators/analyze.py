@@ -75,11 +75,11 @@ def without_duplicates(findings: Column) -> Column:
     return F.aggregate(findings, F.array().cast(f"array<{FINDING}>"), step)
 
 
-def analyze(df: DataFrame, text: str = "text", out: str = "findings", language: str = "en", entities: list[str] | None = None, threshold: float = 0.0, context: list[str] | Column | None = None, allow: list[str] | None = None, allow_regex: bool = False, recognizers: list[Recognizer] | None = None, thresholds: dict[str, float] | None = None, whole_words: bool = False) -> DataFrame:
+def analyze(df: DataFrame, text: str = "text", out: str = "findings", language: str = "en", entities: list[str] | None = None, threshold: float = 0.0, context: list[str] | Column | None = None, allow: list[str] | None = None, allow_regex: bool = False, recognizers: list[Recognizer] | None = None, thresholds: dict[str, float] | None = None, whole_words: bool = False, allow_flags: str = "ism") -> DataFrame:
     """``df`` with ``out``, an array of findings in total order; null for null text, empty for empty text.
 
     Words of ``context`` (a list, or an array column) count as if they stood before every match. ``thresholds`` go by entity and stand above
-    ``threshold``. An empty list of recognizers finds nothing.
+    ``threshold``. An empty list of recognizers finds nothing. ``allow_flags`` are the pattern flags of a regular allow list; none: as written.
     """
     if not 0 <= threshold <= 1 or any(not 0 <= v <= 1 for v in (thresholds or {}).values()):
         raise ValueError("thresholds lie between 0 and 1")
@@ -95,7 +95,7 @@ def analyze(df: DataFrame, text: str = "text", out: str = "findings", language:
         span = lambda x: F.substring(col, x["start"] + 1, x["end"] - x["start"])
         terms = [a for a in allow if a]
         if allow_regex and terms:
-            step = step.withColumn(out, F.filter(out, lambda x: ~span(x).rlike(f"(?ism){'|'.join(terms)}")))
+            step = step.withColumn(out, F.filter(out, lambda x: ~span(x).rlike((f"(?{allow_flags})" if allow_flags else "") + "|".join(terms))))
         elif not allow_regex:
             step = step.withColumn(out, F.filter(out, lambda x: ~span(x).isin(*allow)))
     return step
