@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import phones, spans
 from veilspark.functions import tokens as tk
 from veilspark.operators import anonymize as an
-from veilspark.operators.analyze import analyze, analyze_texts
+from veilspark.operators.analyze import FINDING, analyze, analyze_texts, explode, ordered, without_duplicates
 from veilspark.plans.catalog import deny_list, from_config, select
 from veilspark.plans.registry import Registry, check_languages
 from veilspark.sources.text import report
@@ -126,3 +126,29 @@ def test_report(spark):
     assert lines("colored")[1].endswith("URL")
     with pytest.raises(ValueError):
         report(df, "xml")
+
+
+def test_findings_with_their_text(spark):
+    """Findings that bring their text have the same rows as those whose text is cut out, with brackets, stand-ins and nested matches too."""
+    odd = ["\ue000a\ue001b aab", "\ue002ab a\ue002b", "\U0001f608 ab aab abab", "none", "", None]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    rules = from_config({"recognizers": [{"name": "n", "supported_entity": "N", "patterns": [{"regex": "a.?b", "score": 0.5}, {"regex": "[^ ]*b", "score": 0.4}, {"regex": "b", "score": 0.9}, {"regex": "x*", "score": 0.1}]}]})
+    plain = [r.asDict() for r in explode(analyze(df, recognizers=rules)).collect()]
+    assert plain and [r.asDict() for r in explode(analyze(df, recognizers=rules, spans=True)).collect()] == plain
+
+
+def test_duplicates(spark):
+    """Inside a better one of the type: gone; beside, touching, empty or of another type: as the comparison of all pairs says."""
+    import random
+
+    rng, cases = random.Random(7), []
+    for n in range(300):
+        rows = [(rng.choice("AB"), s, s + rng.randint(0, 4), rng.choice([0.0, 0.3, 0.9]), "r", False, None) for s in (rng.randint(0, 40) for _ in range(rng.randint(0, 9)))]
+        cases.append((n, rows))
+    made = spark.createDataFrame(cases, f"n int, f array<{FINDING}>").select("n", ordered(F.col("f")).alias("f"))
+    for r in made.select("f", without_duplicates(F.col("f")).alias("kept")).collect():
+        kept = []
+        for x in r.f:
+            if x.score > 0 and not any(y.entity_type == x.entity_type and x.start >= y.start and x.end <= y.end for y in kept):
+                kept.append(x)
+        assert r.kept == kept

@@ -140,10 +140,12 @@ CATALOG: tuple[Recognizer, ...] = (
 
 
 def deny_list(entity: str, terms: list[str], score: float = 1.0) -> Recognizer:
-    """Recognizer of fixed terms between characters that are not word characters."""
+    """Recognizer of fixed terms between characters that are not word characters: letters, marks, digits and other numbers, underscore."""
     import re
 
-    return Recognizer(entity, ((rf"(?U)(?:^|(?<=\W))(?:{'|'.join(map(re.escape, terms))})(?:(?=\W)|$)", score),))
+    word = r"[\p{L}\p{M}\p{N}_]"
+    pattern = rf"(?<!{word})(?:{'|'.join(map(re.escape, terms))})(?!{word})"
+    return Recognizer(entity, ((pattern, score),), holds=pattern)
 
 
 def select(language: str = "en", entities: list[str] | None = None, extra: tuple[Recognizer, ...] = (), countries: list[str] | None = None, only_default: bool = True) -> list[Recognizer]:
